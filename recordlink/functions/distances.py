@@ -7,6 +7,7 @@ column expressions; all but Jaro-Winkler stay in the JVM.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,17 +30,20 @@ class Distance:
     """A named distance.
 
     ``step`` is the least distance between two values that do not agree, if there
-    is one; ``bound`` the greatest distance possible. Rules use both to tell which
-    pairs they can never accept. ``within(a, b, limit)`` tests measure <= limit
-    where that is cheaper than measuring. ``python`` marks Python UDFs, which
-    Spark does not allow inside lambdas.
+    is one. ``bound`` is the greatest distance possible; where that depends on the
+    data, ``widest`` aggregates prepared values to it. Rules use these to tell which
+    pairs they can never accept. ``within(a, b, limit)`` tests measure <= limit where
+    that is cheaper than measuring, and ``cheap`` marks plain arithmetic. ``python``
+    marks Python UDFs, which Spark does not allow inside lambdas.
     """
 
     measure: Callable[[Column, Column], Column]
     prepare: Callable[[Column], Column] = _as_is
     step: float = 0.0
     bound: float | None = None
+    widest: Callable[[Column], Column] | None = None
     within: Callable[[Column, Column, int], Column] | None = None
+    cheap: bool = False
     python: bool = False
 
     def between(self, left: Column, right: Column) -> Column:
@@ -110,14 +114,29 @@ def _within_edits(left: Column, right: Column, limit: int) -> Column:
     return F.levenshtein(left, right, limit) >= 0
 
 
+def _longest_text(value: Column) -> Column:
+    return F.max(F.length(value))
+
+
+def _widest_vector(value: Column) -> Column:
+    squares = F.aggregate(value, F.lit(0.0), lambda total, x: total + x * x)
+    return 2 * F.max(F.sqrt(squares))
+
+
+def _time_range(value: Column) -> Column:
+    return time_difference(F.min(value), F.max(value))
+
+
 _REGISTRY: dict[str, Distance] = {
-    "EQUALITY": Distance(equality, step=1.0, bound=1.0),
-    "EDIT_DISTANCE": Distance(edit_distance, prepare=text, step=1.0, within=_within_edits),
-    "EUCLIDEAN": Distance(euclidean_distance),
-    "TIME_DELTA": Distance(time_difference),
+    "EQUALITY": Distance(equality, step=1.0, bound=1.0, cheap=True),
+    "EDIT_DISTANCE": Distance(
+        edit_distance, prepare=text, step=1.0, widest=_longest_text, within=_within_edits
+    ),
+    "EUCLIDEAN": Distance(euclidean_distance, widest=_widest_vector),
+    "TIME_DELTA": Distance(time_difference, widest=_time_range, cheap=True),
     "JARO_WINKLER": Distance(jaro_winkler_distance, prepare=text, bound=1.0, python=True),
-    "HAVERSINE": Distance(haversine_distance),
-    "MEAN": Distance(pair_mean),
+    "HAVERSINE": Distance(haversine_distance, bound=math.pi, cheap=True),
+    "MEAN": Distance(pair_mean, cheap=True),
 }
 
 
@@ -141,4 +160,4 @@ def register_distance(
     Leave ``step`` at 0 and ``bound`` at None unless they are certain: a rule skips
     pairs that they show to be unacceptable.
     """
-    _REGISTRY[name] = Distance(measure, prepare, step, bound, None, python)
+    _REGISTRY[name] = Distance(measure, prepare, step, bound, python=python)
