@@ -34,7 +34,7 @@ class Distance:
     data, ``widest`` aggregates prepared values to it. Rules use these to tell which
     pairs they can never accept. ``within(a, b, limit)`` tests measure <= limit where
     that is cheaper than measuring, and ``cheap`` marks plain arithmetic. ``python``
-    marks Python UDFs, which Spark does not allow inside lambdas.
+    marks Python UDFs, which Spark allows neither inside lambdas nor in join conditions.
     """
 
     measure: Callable[[Column, Column], Column]
@@ -42,7 +42,7 @@ class Distance:
     step: float = 0.0
     bound: float | None = None
     widest: Callable[[Column], Column] | None = None
-    within: Callable[[Column, Column, int], Column] | None = None
+    within: Callable[[Column, Column, Column], Column] | None = None
     cheap: bool = False
     python: bool = False
 
@@ -87,6 +87,19 @@ def euclidean_distance(left: Column, right: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 
 
+def euclidean_of_length(n: int) -> Callable[[Column, Column], Column]:
+    """Euclidean distance of arrays of known length, without lambdas."""
+
+    def measure(left: Column, right: Column) -> Column:
+        total = F.lit(0.0)
+        for i in range(n):
+            gap = left[i] - right[i]
+            total = total + gap * gap
+        return F.sqrt(total)
+
+    return measure
+
+
 def time_difference(left: Column, right: Column) -> Column:
     """Absolute difference of two timestamps in seconds, with fractions."""
     return F.abs(F.timestamp_diff("MICROSECOND", left, right)) / 1e6
@@ -110,8 +123,9 @@ def pair_mean(left: Column, right: Column) -> Column:
     return (left + right) / 2
 
 
-def _within_edits(left: Column, right: Column, limit: int) -> Column:
-    return F.levenshtein(left, right, limit) >= 0
+def _within_edits(left: Column, right: Column, limit: Column) -> Column:
+    # Spark stops early once the limit is passed; the Python wrapper takes no column
+    return F.call_function("levenshtein", left, right, limit) >= 0
 
 
 def _longest_text(value: Column) -> Column:
@@ -155,7 +169,9 @@ def register_distance(
     bound: float | None = None,
     python: bool = False,
 ) -> None:
-    """Add a distance. A ``pandas_udf`` may be given as ``measure`` with ``python=True``.
+    """Add a distance, which has to be symmetric.
+
+    A ``pandas_udf`` may be given as ``measure`` with ``python=True``.
 
     Leave ``step`` at 0 and ``bound`` at None unless they are certain: a rule skips
     pairs that they show to be unacceptable.
