@@ -19,7 +19,7 @@ SMALL_LIMIT = 10_000
 
 # A group holding more than 1/HOT_PARTS of all rows is hot, so fewer than
 # HOT_PARTS groups can be.
-HOT_PARTS = 1000
+HOT_PARTS = 2000
 
 
 def number_rows(
@@ -59,8 +59,9 @@ def join_group_facts(
 
     ``facts[size]`` is the number of rows of the group. Hot groups, fewer than
     ``HOT_PARTS`` by count, are joined by broadcast; the rest are shuffled. Missing
-    keys match each other. Both inputs are read more than once.
+    keys match each other. ``rows`` are read twice.
     """
+    facts = checkpoint(facts)
     added = [c for c in facts.columns if c not in keys]
     total = facts.agg(F.sum(size)).first()[0] or 0
     hot = facts.where(F.col(size) > total / HOT_PARTS)

@@ -15,7 +15,7 @@ from recordlink.operators.clustering import ClusterModel, elbow, fit_clusters
 from recordlink.operators.embedding import choose_basis, collect_basis, embed, tiled_weights
 from recordlink.operators.pairs import limit_pairs, records_with_gold, strict_pairs, working_set
 from recordlink.operators.training import Trained, block_distances, gold_distances, train
-from recordlink.session import checkpoint
+from recordlink.session import checkpoint, spread
 from recordlink.sources.files import load_records, save_records
 
 EMBEDDING = "embedding"
@@ -90,7 +90,7 @@ class Deduplication:
         records = records_with_gold(self.records, checkpoint(pairs), self.spec)
         if n is not None:
             records = working_set(checkpoint(records), self.spec.id_col, n, ratio)
-        records = checkpoint(records)
+        records = spread(checkpoint(records))
         if basis is None:
             basis = choose_basis(records, self.spec, k, self.spec.seed)
         rows = collect_basis(basis, self.spec, k) if isinstance(basis, DataFrame) else list(basis)

@@ -45,3 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A checkpointed ``df`` in at least as many partitions as there are cores.
+
+    Partitions are sized by bytes, which leaves cores idle where little data takes
+    much computing. Large tables have more partitions than that already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
