@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from recordlink.config import RecordSpec
 from recordlink.functions.distances import fold_nan
 from recordlink.functions.draws import hash_order, hash_uniform
-from recordlink.operators.ordering import number_rows
-from recordlink.session import small_or_shuffled
+from recordlink.operators.ordering import join_group_facts, number_rows
+from recordlink.session import is_small
 
 # Fixed value: the pattern of a Canadian postal code.
 POSTAL_PATTERN = "^[A-Za-z][0-9][A-Za-z][0-9][A-Za-z][0-9]"
@@ -44,12 +44,12 @@ def add_geodata(
     if repeated:
         raise ValueError(f"lookup key {repeated[0][0]!r} occurs more than once")
     cleaned = F.when(F.col(postal_col) == "", "0").otherwise(F.col(postal_col))
-    return (
-        df.withColumn(postal_col, cleaned)
-        .withColumn(key_col, postal_key(F.col(postal_col)))
-        .join(small_or_shuffled(geo), key_col, "left")
-        .drop(key_col)
-    )
+    keyed = df.withColumn(postal_col, cleaned).withColumn(key_col, postal_key(F.col(postal_col)))
+    if is_small(geo):
+        return keyed.join(F.broadcast(geo), key_col, "left").drop(key_col)
+    # a code that many records share must not send them all to one task
+    uses = keyed.groupBy(key_col).agg(F.count(F.lit(1)).alias("_uses"))
+    return join_group_facts(keyed, geo.join(uses, key_col), [key_col], "_uses").drop(key_col, "_uses")
 
 
 def fill_uniform(df: DataFrame, columns: Sequence[str], id_col: str, seed: int) -> DataFrame:

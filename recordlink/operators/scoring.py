@@ -15,6 +15,7 @@ from recordlink.config import RecordSpec
 from recordlink.operators.matching import duplicate_members
 from recordlink.operators.ordering import join_group_facts
 from recordlink.operators.similarity import comparable
+from recordlink.session import checkpoint
 
 
 def pairs_of(n: str) -> Column:
@@ -77,7 +78,7 @@ def _true_positives(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     keys = (
-        join_group_facts(per_key, facts, columns, "copies")
+        join_group_facts(checkpoint(per_key), facts, columns, "copies")
         .where("profile_id IS NOT NULL")
         .select("profile_id", F.col(spec.match_col).alias("match"), "n")
     )

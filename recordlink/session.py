@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -42,9 +41,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` has few enough rows to be broadcast."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    return df.limit(limit + 1).count() <= limit
 
 
 def spread(df: DataFrame) -> DataFrame:

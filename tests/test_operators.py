@@ -190,6 +190,19 @@ def test_geo_lookup_keeps_rows_and_refuses_repeated_keys(spark):
         cleaning.add_geodata(df, geo.union(geo), "postal")
 
 
+def test_large_lookup_is_joined_without_broadcast(spark, monkeypatch):
+    from recordlink import session
+
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 1)
+    codes = ["K1A0B1", "K1A0B1", "K1A0B1", "B2B2B2", "", None]
+    df = spark.createDataFrame(list(enumerate(codes)), "id int, postal string")
+    geo = spark.createDataFrame(
+        [("k1a 0b1", "Ottawa"), ("b2b 2b2", "Bedford")], "postal_key string, place_name string"
+    )
+    got = {r["id"]: r["place_name"] for r in cleaning.add_geodata(df, geo, "postal").collect()}
+    assert got == {0: "Ottawa", 1: "Ottawa", 2: "Ottawa", 3: "Bedford", 4: None, 5: None}
+
+
 def test_sentinels(spark):
     numbers = spark.createDataFrame([(0,), (7,), (None,)], "k bigint")
     assert [r[0] for r in cleaning.sentinel_to_null(numbers, "k").collect()] == [None, 7, None]
@@ -340,6 +353,28 @@ def test_gram_and_moments(spark):
     assert np.allclose(z, (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0)))
 
 
+@pytest.mark.parametrize("standardized", [True, False])
+def test_pooling_groups_the_weighted_features(spark, standardized):
+    rng = np.random.default_rng(5)
+    x = rng.normal(4, 1, (150, 8)) * rng.uniform(0.5, 3, 8)
+    x[:, 6] = x[:, 1] * 1.01
+    weights = rng.uniform(0.5, 1.5, 8).tolist()
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    steps = clustering.FeatureSteps.fit(df, "x", weights, 2, 4, standardized)
+    y = (x - x.mean(0)) / x.std(0) if standardized else x
+    y = y * np.array(weights) ** 2
+    assert steps.groups == features.agglomerate_features(y.T @ y, 4)
+
+
+def test_predictions_for_missing_distances(spark, people):
+    fitted = training.train(training.gold_distances(people, PEOPLE), PEOPLE).classifier
+    schema = "left_id int, right_id int, " + ", ".join(f"d_{c} double" for c in PEOPLE.columns)
+    rows = [(1, 2, *[0.0] * 7), (3, 4, *[0.0] * 6, None)]
+    got = fitted.predict(spark.createDataFrame(rows, schema)).orderBy("left_id").collect()
+    assert [r["prediction"] for r in got] == [1, 0]
+    assert got[1]["d_cdt"] is None and got[0]["d_cdt"] == 0.0
+
+
 def test_agglomeration_is_average_linkage():
     x = np.random.default_rng(2).normal(size=(30, 9))
     x[:, 3] = x[:, 0] + 0.01
