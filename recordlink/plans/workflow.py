@@ -50,6 +50,16 @@ class Deduplication:
             df = preprocess(df, spec, geo)
         return Deduplication(df, spec)
 
+    @staticmethod
+    def of_blocks(records: DataFrame, spec: RecordSpec) -> "Deduplication":
+        """Start at ``match`` with a table whose ``spec.cluster_col`` holds blocks already.
+
+        Any column will do; a constant one compares the whole table.
+        """
+        run = Deduplication(records, spec)
+        run.clustered = records
+        return run
+
     def _step(self, attribute: str, step: str):
         if not hasattr(self, attribute):
             raise ValueError(f"call {step} first")
@@ -63,10 +73,16 @@ class Deduplication:
         standardize: bool = True,
         training: bool = False,
         test_size: float = 0.4,
+        spec: RecordSpec | None = None,
     ) -> Trained:
-        """Fit a linear classifier on gold pairs; its coefficients weight the columns."""
-        labelled = gold_distances(self.gold, self.spec, n, train_ratio)
-        self.weights_model = train(labelled, self.spec, estimator, standardize, training, test_size)
+        """Fit a linear classifier on gold pairs; its coefficients weight the columns.
+
+        Here and in the other steps ``spec`` compares other columns, or by other
+        distances, than the run does by default.
+        """
+        spec = (spec or self.spec).validate(self.gold)
+        labelled = gold_distances(self.gold, spec, n, train_ratio)
+        self.weights_model = train(labelled, spec, estimator, standardize, training, test_size)
         return self.weights_model
 
     def embed(
@@ -77,13 +93,18 @@ class Deduplication:
         splits: int = 10,
         skew: bool = True,
         basis: DataFrame | Sequence[Row] | None = None,
+        spec: RecordSpec | None = None,
     ) -> DataFrame:
         """Embed all records, or with ``n`` the gold pairs and others up to ``ratio``."""
+        spec = (spec or self.spec).validate(self.records)
         self.weights = None
         if skew:
-            trained = self._step("weights_model", "learn_weights")
-            columns = trained.classifier.coefficients
-            self.weights = tiled_weights(list(columns.values()), len(columns), splits)
+            learnt = self._step("weights_model", "learn_weights").classifier.coefficients
+            unknown = [c for c in spec.columns if c not in learnt]
+            if unknown:
+                raise ValueError(f"no weights were learnt for columns {unknown}")
+            weights = [learnt[c] for c in spec.columns]
+            self.weights = tiled_weights(weights, len(weights), splits)
         pairs = strict_pairs(self.records, self.spec)
         if n is not None:
             pairs = limit_pairs(pairs, n, self.spec.seed)
@@ -92,12 +113,12 @@ class Deduplication:
             records = working_set(checkpoint(records), self.spec.id_col, n, ratio)
         records = spread(checkpoint(records))
         if basis is None:
-            basis = choose_basis(records, self.spec, k, self.spec.seed)
-        rows = collect_basis(basis, self.spec, k) if isinstance(basis, DataFrame) else list(basis)
+            basis = choose_basis(records, spec, k, spec.seed)
+        rows = collect_basis(basis, spec, k) if isinstance(basis, DataFrame) else list(basis)
         if len(rows) != k:
             raise ValueError(f"the basis must have {k} records, but has {len(rows)}")
         self.basis = rows
-        self.embedded = checkpoint(embed(records, self.spec, rows, splits, True, EMBEDDING))
+        self.embedded = checkpoint(embed(records, spec, rows, splits, True, EMBEDDING))
         return self.embedded
 
     def cluster(
@@ -148,8 +169,7 @@ class Deduplication:
     ) -> DataFrame:
         """Find the duplicates inside clusters and label the records with them.
 
-        The rule is learnt on pairs inside clusters, unless one is given. ``spec``
-        compares other columns, or with other distances, than the embedding did.
+        The rule is learnt on pairs inside clusters, unless one is given.
         """
         clustered = self._step("clustered", "cluster")
         self.match_spec = spec = (spec or self.spec).validate(clustered)

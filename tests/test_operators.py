@@ -441,3 +441,26 @@ def test_workflow(spark, people, tmp_path):
     assert scores["recall"] > 0.8 and scores["accuracy"] > 0.9
     path = run.save(str(tmp_path / "out.parquet"))
     assert spark.read.parquet(path).where("duplicate_label <> ''").count() > 0
+
+
+def test_other_columns_per_step(people):
+    run = Deduplication(people, PEOPLE)
+    names = PEOPLE.on(["given_name", "surname"])
+    run.learn_weights(spec=names)
+    with pytest.raises(ValueError, match="birth_date"):
+        run.embed(k=2, splits=2)
+    assert len(run.embed(k=2, splits=2, spec=names).first()["embedding"]) == 4
+    assert len(run.weights) == 4
+
+
+def test_matching_any_blocked_table(people):
+    from recordlink.plans.queries import RULE
+
+    run = Deduplication.of_blocks(people, PEOPLE)
+    run.match(rule=RULE)
+    apart = run.scores().first()
+    whole = Deduplication.of_blocks(people.withColumn("cluster_id", F.lit(0)), PEOPLE)
+    whole.match(rule=RULE)
+    together = whole.scores().first()
+    assert apart["tp"] + apart["fn"] == together["tp"] + together["fn"]
+    assert together["tp"] == apart["tp"] and together["tn"] > apart["tn"]
