@@ -97,13 +97,6 @@ DISTANCES = {
 }
 
 
-def all_distances(a: str = "a", b: str = "b") -> dict[str, str]:
-    return {
-        c: sql.replace("a.", f"{a}.").replace("b.", f"{b}.") if (a, b) != ("a", "b") else sql
-        for c, sql in DISTANCES.items()
-    }
-
-
 def rounded() -> str:
     return ", ".join(f"round({sql}, 6) AS d_{c}" for c, sql in DISTANCES.items())
 

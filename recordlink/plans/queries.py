@@ -12,7 +12,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlink.functions import arrays
 from recordlink.functions.distances import distance
 from recordlink.operators import (
     classify,
@@ -21,7 +20,6 @@ from recordlink.operators import (
     embedding,
     features,
     matching,
-    ordering,
     pairs,
     scoring,
     similarity,

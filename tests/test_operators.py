@@ -24,7 +24,6 @@ from recordlink.operators import (
     ordering,
     pairs,
     scoring,
-    similarity,
     training,
 )
 from recordlink.plans.workflow import Deduplication
