@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from recordlink.llm.html_text import op4_html_text
+from recordlink.llm.language import op3_language_id
+from recordlink.llm.pii import OP9_SQL, op9_pii
 from recordlink.llm.url_reputation import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op3_language_id": op3_language_id,
+    "op4_html_text": op4_html_text,
+    "op9_pii": op9_pii,
 }
 
 ORACLES = {
     "op2_url_filter": OP2_SQL,
+    "op9_pii": OP9_SQL,
 }
