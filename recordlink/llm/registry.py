@@ -6,6 +6,7 @@ from recordlink.llm.html_text import op4_html_text
 from recordlink.llm.language import op3_language_id
 from recordlink.llm.packing import op6_best_fit_packing
 from recordlink.llm.pii import OP9_SQL, op9_pii
+from recordlink.llm.topk import OP7_SQL, op7_topk
 from recordlink.llm.url_reputation import OP2_SQL, op2_url_filter
 
 QUERIES = {
@@ -13,10 +14,12 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_topk": op7_topk,
     "op9_pii": op9_pii,
 }
 
 ORACLES = {
     "op2_url_filter": OP2_SQL,
+    "op7_topk": OP7_SQL,
     "op9_pii": OP9_SQL,
 }
