@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from recordlink.llm.html_text import op4_html_text
 from recordlink.llm.language import op3_language_id
+from recordlink.llm.minhash import op5_minhash
 from recordlink.llm.packing import op6_best_fit_packing
 from recordlink.llm.pii import OP9_SQL, op9_pii
 from recordlink.llm.topk import OP7_SQL, op7_topk
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
+    "op5_minhash": op5_minhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_topk": op7_topk,
     "op9_pii": op9_pii,
