@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from recordlink.llm.html_text import op4_html_text
 from recordlink.llm.language import op3_language_id
+from recordlink.llm.line_dedup import OP8_SQL, op8_line_dedup
 from recordlink.llm.minhash import op5_minhash
 from recordlink.llm.packing import op6_best_fit_packing
 from recordlink.llm.pii import OP9_SQL, op9_pii
@@ -17,11 +18,13 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_topk": op7_topk,
+    "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
 }
 
 ORACLES = {
     "op2_url_filter": OP2_SQL,
     "op7_topk": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op9_pii": OP9_SQL,
 }
