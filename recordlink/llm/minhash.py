@@ -51,6 +51,7 @@ BLOCK_SHINGLES = 1_000_000
 # Distinct words that a worker remembers.
 REMEMBERED = 500_000
 
+_SKETCH = ["n_shingles", "set_key", "bands", "signature"]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -110,15 +111,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``set_key`` (hash of the set), band hashes and signature."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``set_key`` (hash of the set), bands, signature."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"]):
                 shingles = shingle_hashes(text, words)
                 if not len(shingles):
-                    rows.append((doc_id, 0, None, None, None))
+                    rows.append((doc_id, text_hash, 0, None, None, None))
                     continue
                 mark = signature(shingles)
                 bands = [
@@ -126,13 +127,16 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
                     for b in range(BANDS)
                 ]
                 whole = xxhash.xxh3_128_digest(shingles.tobytes())
-                rows.append((doc_id, len(shingles), whole, bands, mark.astype("<u2").tobytes()))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_key", "bands", "signature"])
+                rows.append((doc_id, text_hash, len(shingles), whole, bands, mark.astype("<u2").tobytes()))
+            frame = pd.DataFrame(rows, columns=["doc_id", "text_hash", *_SKETCH])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, signature binary"
-    return only(docs, "doc_id", "text").mapInPandas(sketch, schema)
+    schema = (
+        "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>, signature binary"
+    )
+    rows = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInPandas(sketch, schema)
 
 
 @lru_cache
@@ -341,7 +345,7 @@ def _clusters(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every document.
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``component_id``, ``kept`` for every document.
 
     Documents whose sets of ``words``-word shingles have a Jaccard similarity of at least
     ``percent`` / 100 are linked; a component is named by its smallest id.
@@ -393,14 +397,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     facts = named.join(least, "root").select("set_key", "copies", "component_id")
-    rows = sketches.select("doc_id", "n_shingles", "set_key")
+    rows = sketches.select("doc_id", "text_hash", "n_shingles", "set_key")
     joined = join_group_facts(rows.where("set_key IS NOT NULL"), facts, ["set_key"], "copies")
     empty = rows.where("set_key IS NULL").withColumn("component_id", F.col("doc_id"))
-    answer = joined.select("doc_id", "n_shingles", "component_id").unionByName(
-        empty.select("doc_id", "n_shingles", "component_id")
-    )
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
+    answer = joined.select(*columns).unionByName(empty.select(*columns))
     return answer.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.drop("text_hash")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each group of near-duplicates the smallest id stays, once."""
+    kept = near_duplicates(docs).where("kept").select("doc_id", "text_hash").distinct()
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._text_hash") == F.col("k.text_hash"))
+    left = rows.alias("d").join(kept.alias("k"), same, "left_semi")
+    return left.dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])

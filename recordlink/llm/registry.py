@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from recordlink.llm.decontaminate import op10_decontaminate
 from recordlink.llm.html_text import op4_html_text
 from recordlink.llm.language import op3_language_id
 from recordlink.llm.line_dedup import OP8_SQL, op8_line_dedup
@@ -20,6 +22,8 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
+    "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
