@@ -24,7 +24,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,6 @@ MIN_SHARE = 2e-5
 MAX_LANGUAGES = 300
 # Words per task that are counted before they are sent on.
 FLUSH = 200_000
-# A word scored by its n-grams is remembered; the memory is emptied at this size.
-REMEMBERED = 200_000
 # Added to a count of zero.
 SMOOTHING = 0.1
 # Confidence is judged as if a longer text had this many words.
@@ -92,46 +90,39 @@ def _count_ngrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Model:
-    """Log frequencies by language, of words and of n-grams (``order`` + n-gram)."""
+    """Log frequencies by language (columns) of words and n-grams (rows)."""
 
     languages: list[str]
-    word_rows: dict[str, int]
-    word_scores: np.ndarray
-    gram_rows: dict[str, int]
-    gram_scores: np.ndarray
-    _unseen: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, int]
+    grams: dict[int, dict[str, int]]
+    scores: np.ndarray
 
-    def _back_off(self, word: str) -> np.ndarray:
+    def _back_off(self, word: str) -> list[int]:
+        """Rows of the known n-grams of the longest order that has any."""
         for order in ORDERS:
-            rows = [self.gram_rows.get(f"{order}{g}") for g in ngrams_of(word, order)]
-            rows = [r for r in rows if r is not None]
+            known = self.grams[order]
+            rows = [known[g] for g in ngrams_of(word, order) if g in known]
             if rows:
-                return self.gram_scores[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
-
-    def _unseen_score(self, word: str) -> np.ndarray:
-        found = self._unseen.get(word)
-        if found is None:
-            if len(self._unseen) >= REMEMBERED:
-                self._unseen.clear()
-            found = self._unseen[word] = self._back_off(word)
-        return found
+                return rows
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        rows, times = [], []
-        total = np.zeros(len(self.languages))
+        rows: list[int] = []
+        weights: list[float] = []
         for word, n in Counter(words).items():
-            row = self.word_rows.get(word)
-            if row is None:
-                total += n * self._unseen_score(word)
-            else:
+            row = self.words.get(word)
+            if row is not None:
                 rows.append(row)
-                times.append(n)
-        if rows:
-            total += np.asarray(times, dtype=float) @ self.word_scores[rows]
+                weights.append(n)
+            else:
+                # an unseen word counts as much as a known one: the mean of its n-grams
+                found = self._back_off(word)
+                rows += found
+                weights += [n / len(found)] * len(found) if found else []
+        total = np.asarray(weights) @ self.scores[rows] if rows else np.zeros(len(self.languages))
         best = int(np.argmax(total))
         sure = np.exp((total - total[best]) * min(1.0, SURE_WORDS / len(words)))
         return self.languages[best], float(1 / sure.sum())
@@ -176,7 +167,10 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
     languages = sorted({lang for lang, _ in word_totals})
     word_rows, word_scores = _scores(known, languages, word_totals, lambda item: "0")
     gram_rows, gram_scores = _scores(known_grams, languages, gram_totals, lambda item: item[0])
-    return Model(languages, word_rows, word_scores, gram_rows, gram_scores)
+    by_order: dict[int, dict[str, int]] = {order: {} for order in ORDERS}
+    for item, row in gram_rows.items():
+        by_order[int(item[0])][item[1:]] = row + len(word_rows)
+    return Model(languages, word_rows, by_order, np.concatenate([word_scores, gram_scores]))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
