@@ -10,10 +10,12 @@ from recordlink.llm.line_dedup import OP8_SQL, op8_line_dedup
 from recordlink.llm.minhash import op5_minhash
 from recordlink.llm.packing import op6_best_fit_packing
 from recordlink.llm.pii import OP9_SQL, op9_pii
+from recordlink.llm.substring_dedup import op1_suffix_dedup
 from recordlink.llm.topk import OP7_SQL, op7_topk
 from recordlink.llm.url_reputation import OP2_SQL, op2_url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_language_id": op3_language_id,
     "op4_html_text": op4_html_text,
