@@ -201,7 +201,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A document stays if its language is known with at least this confidence.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.3
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

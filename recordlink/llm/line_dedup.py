@@ -187,11 +187,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated runs go, and with them documents of which nothing is left."""
-    found = dedup_lines(docs)
-    nothing = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s", "")) == "")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    kept = found.where(~F.coalesce(nothing, F.lit(False))).withColumn("n_chars", n_chars.cast("bigint"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = dedup_lines(docs.select("doc_id", "text", whole.alias("_doc")))
+    changed = F.col("n_removed") > 0
+    nothing = changed & (F.regexp_replace("text", r"\s", "") == "")
+    new = {
+        "text": F.col("text"),
+        "n_chars": F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("_doc.n_chars")),
+    }
+    kept = found.where(~F.coalesce(nothing, F.lit(False)))
+    return kept.select(*[new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 OP8_SQL = f"""

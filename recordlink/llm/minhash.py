@@ -413,7 +413,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of near-duplicates the smallest id stays, once."""
     kept = near_duplicates(docs).where("kept").select("doc_id", "text_hash").distinct()
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._text_hash") == F.col("k.text_hash"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), whole.alias("_doc"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_hash") == F.col("k.text_hash"))
     left = rows.alias("d").join(kept.alias("k"), same, "left_semi")
-    return left.dropDuplicates(["doc_id", "_text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.dropDuplicates(["doc_id", "text_hash"]).select("_doc.*")
