@@ -20,7 +20,6 @@ empty table gives no rows; extra columns are left out.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -35,11 +34,11 @@ from recordlink.operators.ordering import number_rows
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-# Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
-
-# white space to any tokenizer; other white space stays inside a word and is left to it
-_SPACE = re.compile(r"[ \n\t\r]+")
+# Distinct words that a worker remembers; as many older ones are kept for a while.
+REMEMBERED = 500_000
+MARK = "\x01"
+# Documents that are tokenized at the same time.
+TOGETHER = 50
 _PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -49,27 +48,58 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokenizer(dict):
-    """Token ids of a word as little-endian unsigned 32-bit integers."""
+class WordTokenizer:
+    """Token ids of texts as little-endian unsigned 32-bit integers, word by word."""
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, text: str) -> bytes:
-        words = _SPACE.split(text)
-        new = list(set(words).difference(self))
-        if new:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            for word, one in zip(new, found):
-                self[word] = np.asarray(one.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        # a word of its own that is one token, and no part of a word without it
+        self.mark = int(self._encoded(MARK)[0])
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Cut at what is white space to any tokenizer; other kinds stay inside a word."""
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def _encoded(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.asarray(found[0].ids, dtype="<u4")
+
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """The ids of words without the mark, encoded at once and cut at the marks."""
+        if not words:
+            return []
+        ids = self._encoded(f" {MARK} ".join(words))
+        ends = np.nonzero(ids == self.mark)[0].tolist()
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)])]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        parts = [self.words(t) for t in texts]
+        distinct = set().union(*parts)
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for word in distinct:
+            if word not in known:
+                if word in older:
+                    known[word] = older[word]
+                else:
+                    new.append(word)
+        plain = [w for w in new if MARK not in w]
+        for word, ids in zip(plain, self._marked(plain)):
+            known[word] = ids
+        if len(plain) < len(new):
+            for word in new:
+                if MARK in word:
+                    known[word] = self._encoded(word).tobytes()
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -94,15 +124,17 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _tokenizer(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = words.ids(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, part))
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            for first in range(0, len(batch), TOGETHER):
+                part = batch.iloc[first : first + TOGETHER]
+                rows = []
+                for doc_id, ids in zip(part["doc_id"], words.ids([t or "" for t in part["text"]])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), width)):
+                        cut_ids = ids[at : at + width]
+                        rows.append((doc_id, piece, at // 4, len(cut_ids) // 4, cut_ids))
+                frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+                frame["doc_id"] = frame["doc_id"].astype("Int64")
+                yield frame
 
     return only(docs, "doc_id", "text").mapInPandas(cut, _PIECE_FIELDS)
 

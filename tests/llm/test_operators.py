@@ -350,7 +350,7 @@ def test_a_pair_replaces_the_smallest():
 def test_tokens_by_word_are_those_of_the_text(text):
     words = packing._tokenizer(packing.tokenizer_path())
     want = words.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(words.ids(text), dtype="<u4").tolist() == want
+    assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
 
 
 # 7: top k
