@@ -11,12 +11,15 @@ from pyspark.sql import types as T
 from recordlink.config import RecordSpec
 from recordlink.functions.distances import fold_nan
 from recordlink.functions.draws import hash_order, hash_uniform
-from recordlink.operators.ordering import join_group_facts, number_rows
+from recordlink.operators.ordering import join_facts, number_rows
 from recordlink.session import is_small
 
 # Fixed value: the pattern of a Canadian postal code.
 POSTAL_PATTERN = "^[A-Za-z][0-9][A-Za-z][0-9][A-Za-z][0-9]"
 
+# Up to this many values are broadcast when they fill the gaps of a column.
+FEW_DONORS = 10_000
+
 # Columns a postal lookup brings, and the merged column.
 LATITUDE, LONGITUDE, LAT_LONG, ACCURACY = "latitude", "longitude", "lat-long", "accuracy"
 
@@ -47,9 +50,8 @@ def add_geodata(
     keyed = df.withColumn(postal_col, cleaned).withColumn(key_col, postal_key(F.col(postal_col)))
     if is_small(geo):
         return keyed.join(F.broadcast(geo), key_col, "left").drop(key_col)
-    # a code that many records share must not send them all to one task
-    uses = keyed.groupBy(key_col).agg(F.count(F.lit(1)).alias("_uses"))
-    return join_group_facts(keyed, geo.join(uses, key_col), [key_col], "_uses").drop(key_col, "_uses")
+    # a code that many records share must not send them all to one task, known or not
+    return join_facts(keyed, geo, [key_col]).drop(key_col)
 
 
 def fill_uniform(df: DataFrame, columns: Sequence[str], id_col: str, seed: int) -> DataFrame:
@@ -74,6 +76,9 @@ def fill_empirical(df: DataFrame, column: str, id_col: str, seed: int) -> DataFr
     values = number_rows(known.select(F.col(id_col).alias("_donor"), F.col(column).alias("_value")),
                          ["_donor"], "_pick").drop("_donor")
     missing = df.where(F.col(column).isNull())
+    if n_known <= FEW_DONORS:
+        # few donors are hot keys
+        values = F.broadcast(values)
     pick = F.pmod(hash_order(id_col, seed), F.lit(n_known))
     drawn = (
         missing.withColumn("_pick", pick)

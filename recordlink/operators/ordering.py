@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from recordlink.session import checkpoint
 
-# Up to this many rows Spark's own top-n runs in one task.
-SMALL_LIMIT = 10_000
+# Up to this many rows Spark's own top-n is used: each task sends so many to one task.
+SMALL_LIMIT = 100
 
 # A group holding more than 1/HOT_PARTS of all rows is hot, so fewer than
 # HOT_PARTS groups can be.
@@ -74,3 +74,40 @@ def join_group_facts(
     others = rows.join(F.broadcast(hot.select(*keys).alias("facts")), same, "left_anti")
     in_cold = others.alias("rows").join(cold.alias("facts"), same, how).select(*pick)
     return in_hot.unionByName(in_cold)
+
+
+# Hot facts are broadcast up to so many bytes, beyond that they are salted.
+BROADCAST_BYTES = 64 << 20
+SALTS = 64
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of ``facts`` (one row per key) to rows of which any key may be hot.
+
+    Hot keys are found among ``rows``, so a key without facts, or a missing one, is spread
+    as well. Missing keys match each other. ``rows`` are read three times.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot_keys = checkpoint(counts.where(F.col("_n") > max(total / HOT_PARTS, SMALL_LIMIT)).drop("_n"))
+    added = [c for c in facts.columns if c not in keys]
+    same = _same("rows", "facts", keys)
+    pick = ["rows.*", *[F.col(f"facts.{c}") for c in added]]
+    if not hot_keys.limit(1).count():
+        return rows.alias("rows").join(facts.alias("facts"), same, "left").select(*pick)
+    # fewer than HOT_PARTS rows
+    hot_facts = checkpoint(
+        hot_keys.alias("rows").join(facts.alias("facts"), same, "left").select(*pick)
+    )
+    size = hot_facts.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    in_hot = rows.alias("rows").join(F.broadcast(hot_keys.alias("facts")), same, "left_semi")
+    in_cold = rows.alias("rows").join(F.broadcast(hot_keys.alias("facts")), same, "left_anti")
+    cold = in_cold.alias("rows").join(facts.alias("facts"), same, "left").select(*pick)
+    if size <= BROADCAST_BYTES:
+        hot = in_hot.alias("rows").join(F.broadcast(hot_facts.alias("facts")), same, "left").select(*pick)
+    else:
+        salted = in_hot.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
+        copies = hot_facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        also = same & (F.col("rows._salt") == F.col("facts._salt"))
+        hot = salted.alias("rows").join(copies.alias("facts"), also, "left").select(*pick).drop("_salt")
+    return hot.unionByName(cold)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlink.config import RecordSpec
+from recordlink.functions.counts import PAIRS, pairs_of, product
 from recordlink.functions.draws import hash_order, hash_uniform
 from recordlink.operators.ordering import first_rows, join_group_facts, number_rows
 
@@ -113,14 +114,12 @@ def pair_runs(df: DataFrame, id_col: str, groups: Sequence[str] = ()) -> DataFra
     else:
         only = facts.first()
         ranked = numbered.withColumns({"_first": F.lit(only["_first"]), "_size": F.lit(only["_size"])})
-    rank = F.col("row_no") - F.col("_first")
+    ranked = ranked.withColumn("_rank", F.col("row_no") - F.col("_first"))
     return ranked.select(
         *groups,
         id_col,
-        (F.col("_size") - rank - 1).alias("n_partners"),
-        (rank * F.col("_size") - F.expr("CAST((row_no - _first) * (row_no - _first + 1) / 2 AS BIGINT)")).alias(
-            "first_pair"
-        ),
+        (F.col("_size") - F.col("_rank") - 1).alias("n_partners"),
+        (product("_rank", "_size") - pairs_of(F.col("_rank") + 1)).cast(PAIRS).alias("first_pair"),
     )
 
 
@@ -214,11 +213,18 @@ def records_with_gold(df: DataFrame, pairs: DataFrame, spec: RecordSpec) -> Data
 
 
 def working_set(gold_records: DataFrame, id_col: str, n: int, ratio: float) -> DataFrame:
-    """The ``2n`` gold records and the first others, so that pairs have share ``ratio``."""
+    """The records of ``n`` gold pairs and the first others, so that pairs have share ``ratio``.
+
+    The first gold labels are taken; fewer than ``n`` pairs are all taken. The others are
+    ``2 * int(n / ratio - n)`` records.
+    """
     n_others = 2 * int(n / ratio - n)
     gold = gold_records.where(F.col("true_label").isNotNull())
+    chosen = first_rows(gold.select("true_label").distinct(), ["true_label"], n)
     others = first_rows(gold_records.where(F.col("true_label").isNull()), [id_col], n_others)
-    return gold.unionByName(others)
+    columns = gold_records.columns
+    taken = gold.join(chosen, "true_label", "left_semi").select(*[F.col(f"`{c}`") for c in columns])
+    return taken.unionByName(others)
 
 
 def training_labels(duplicates: DataFrame, others: DataFrame) -> DataFrame:

@@ -12,27 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlink.config import RecordSpec
+from recordlink.functions.counts import PAIRS, pairs_of, product
 from recordlink.operators.matching import duplicate_members
-from recordlink.operators.ordering import join_group_facts
+from recordlink.operators.ordering import join_facts
 from recordlink.operators.similarity import comparable
 from recordlink.session import checkpoint
 
 
-def pairs_of(n: str) -> Column:
-    """Number of pairs in a group of ``n``, as a bigint."""
-    return F.expr(f"CAST(`{n}` * (`{n}` - 1) / 2 AS BIGINT)")
-
-
 def count_comparisons(records: DataFrame, block: str) -> DataFrame:
     """Pairs inside blocks, pairs in the whole table, and their ratio, as one row."""
     sizes = records.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
     # records without a block meet nobody, but count in the whole table
-    in_blocks = F.sum(F.when(F.col(block).isNotNull(), pairs_of("n")).otherwise(0))
+    in_blocks = F.sum(F.when(F.col(block).isNotNull(), pairs_of("n")).otherwise(F.lit(0).cast(PAIRS)))
     found = sizes.agg(in_blocks.alias("block_pairs"), F.sum("n").alias("n"))
     return found.select(
         "block_pairs",
         pairs_of("n").alias("all_pairs"),
-        F.try_divide(F.col("block_pairs"), pairs_of("n")).alias("ratio"),
+        F.try_divide(F.col("block_pairs").cast("double"), pairs_of("n").cast("double")).alias("ratio"),
     )
 
 
@@ -77,27 +73,38 @@ def _true_positives(
         .groupBy(*[F.col(f"`{c}`") for c in columns], spec.match_col)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    keys = (
-        join_group_facts(checkpoint(per_key), facts, columns, "copies")
+    keys = checkpoint(
+        join_facts(checkpoint(per_key), facts, columns)
         .where("profile_id IS NOT NULL")
         .select("profile_id", F.col(spec.match_col).alias("match"), "n")
     )
-    left = keys.select(F.col("profile_id").alias("left_id"), "match", F.col("n").alias("n_left"))
-    right = keys.select(F.col("profile_id").alias("right_id"), "match", F.col("n").alias("n_right"))
+    n_keys = keys.groupBy("profile_id").agg(F.count(F.lit(1)).alias("n_keys"))
+
+    def with_keys(found: DataFrame, side: str) -> DataFrame:
+        of_side = n_keys.select(F.col("profile_id").alias(f"{side}_id"), F.col("n_keys").alias(f"{side}_keys"))
+        return found.join(of_side, f"{side}_id")
+
+    # the profile with fewer keys looks its keys up in those of the other
+    sized = with_keys(with_keys(pairs.where("left_id <> right_id").select("left_id", "right_id"), "left"), "right")
+    fewer = F.col("left_keys") <= F.col("right_keys")
+    turned = sized.select(
+        F.when(fewer, F.col("left_id")).otherwise(F.col("right_id")).alias("few_id"),
+        F.when(fewer, F.col("right_id")).otherwise(F.col("left_id")).alias("many_id"),
+    )
+    few = keys.select(F.col("profile_id").alias("few_id"), "match", F.col("n").alias("n_few"))
+    many = keys.select(F.col("profile_id").alias("many_id"), "match", F.col("n").alias("n_many"))
     crossing = (
-        pairs.where("left_id <> right_id")
-        .select("left_id", "right_id")
-        .join(left, "left_id")
-        .join(right, ["right_id", "match"])
-        .select(F.expr("n_left * n_right").alias("tp"))
+        turned.join(few, "few_id")
+        .join(many, ["many_id", "match"])
+        .select(product("n_few", "n_many").alias("tp"))
     )
     copies = (
         pairs.where("left_id = right_id")
         .select("left_id")
-        .join(left.withColumnRenamed("n_left", "n"), "left_id")
+        .join(keys.withColumnRenamed("profile_id", "left_id"), "left_id")
         .select(pairs_of("n").alias("tp"))
     )
-    return crossing.unionByName(copies).agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
+    return crossing.unionByName(copies).agg(F.coalesce(F.sum("tp"), F.lit(0)).cast(PAIRS).alias("tp"))
 
 
 def confusion_scores(
@@ -116,10 +123,10 @@ def confusion_scores(
     known = block_pair_labels(records, spec, block).select(
         F.col("duplicate_pairs").alias("pos"),
         F.col("nonduplicate_pairs").alias("neg"),
-        F.lit(0).cast("bigint").alias("predicted"),
-        F.lit(0).cast("bigint").alias("tp"),
+        F.lit(0).cast(PAIRS).alias("predicted"),
+        F.lit(0).cast(PAIRS).alias("tp"),
     )
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast(PAIRS)
     predicted = pairs.select(
         zero.alias("pos"), zero.alias("neg"), F.col("n_known").alias("predicted"), zero.alias("tp")
     )

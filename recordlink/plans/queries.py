@@ -48,6 +48,8 @@ WEIGHTS = {
 INTERCEPT = 3.125
 RULE = classify.LinearRule(WEIGHTS, INTERCEPT)
 BLOCK = "cluster_id"
+# What the whole workflow has to reach, over all known pairs.
+LEAST_PRECISION, LEAST_RECALL = 0.9, 0.7
 ID = PEOPLE.id_col
 
 PEOPLE_COLUMNS = [
@@ -282,6 +284,23 @@ def pairs_strict(spark, sf):
     return pairs.strict_pairs(people(spark, sf), PEOPLE)
 
 
+def _whole(df: DataFrame, *columns: str) -> DataFrame:
+    """Counts of pairs as bigint, which is wide enough for these tables."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
+@query(
+    """WITH ranked AS (
+      SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r,
+             count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_custkey IS NOT NULL)
+    SELECT o_custkey, o_orderkey, (n - r - 1)::BIGINT AS n_partners,
+           (r * n - r * (r + 1) // 2)::BIGINT AS first_pair FROM ranked"""
+)
+def pairs_all(spark, sf):
+    """All pairs of records that share a key, as runs; keys have up to 25 records."""
+    return _whole(pairs.pair_runs(table(spark, sf, "orders"), "o_orderkey", ["o_custkey"]), "first_pair")
+
+
 @query(
     f"""WITH {sql.PEOPLE}, ranked AS (
       SELECT rec_id, match_id, row_number() OVER (PARTITION BY match_id ORDER BY rec_id) AS no
@@ -289,7 +308,8 @@ def pairs_strict(spark, sf):
     SELECT a.match_id, a.rec_id AS left_id, b.rec_id AS right_id
     FROM ranked a JOIN ranked b ON a.match_id = b.match_id AND b.no BETWEEN a.no + 1 AND a.no + 4"""
 )
-def pairs_all(spark, sf):
+def pairs_neighbours(spark, sf):
+    """A sampling operator: each record with up to four after it."""
     return pairs.neighbour_pairs(people(spark, sf), ID, ["match_id"], partners=4)
 
 
@@ -299,12 +319,35 @@ def nonpairs_strict(spark, sf):
 
 
 @query(
-    f"""{sql.WITH_KEYS} SELECT a.rec_id AS left_id, b.rec_id AS right_id
-    FROM numbered a JOIN numbered b ON b.no BETWEEN a.no + 1 AND a.no + 3"""
+    f"""{sql.WITH_KEYS}, total AS (SELECT count(*) AS n FROM uniq)
+    SELECT rec_id, (n - no - 1)::BIGINT AS n_partners, (no * n - no * (no + 1) // 2)::BIGINT AS first_pair
+    FROM numbered, total"""
 )
 def nonpairs_all(spark, sf):
+    """All pairs of records with unique keys, as runs."""
+    unique = pairs.unique_key_ids(people(spark, sf), PEOPLE)
+    return _whole(pairs.pair_runs(unique, ID), "first_pair")
+
+
+@query(
+    f"""{sql.WITH_KEYS} SELECT count(*) * 3 - 6 AS n_pairs, count(*) * 3 - 6 AS n_distinct,
+    count(*) * 3 - 6 AS n_unique_keys, 1 AS drawn FROM uniq"""
+)
+def nonpairs_sampled(spark, sf):
+    """A sampling operator: records with unique keys, each with three drawn by hash."""
     unique = pairs.unique_key_ids(people(spark, sf), PEOPLE)
-    return pairs.neighbour_pairs(unique, ID, partners=3)
+    met = pairs.neighbour_pairs(unique, ID, partners=3, seed=5)
+    ids = unique.select(F.col(ID).alias("left_id"))
+    right = unique.select(F.col(ID).alias("right_id"))
+    both = met.join(ids, "left_id", "left_semi").join(right, "right_id", "left_semi")
+    n = both.agg(F.count(F.lit(1)).alias("n_unique_keys"))
+    checks = met.agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.countDistinct("left_id", "right_id").alias("n_distinct"),
+        # neighbours by hash are far apart by id
+        flag(F.avg(F.col("right_id") - F.col("left_id")) > 10).alias("drawn"),
+    )
+    return checks.crossJoin(n)
 
 
 @query(
@@ -369,7 +412,8 @@ def records_with_gold(spark, sf):
 @query(
     f"""{GOLD_RECORDS}, others AS (
       SELECT *, row_number() OVER (ORDER BY rec_id) AS no FROM gold_records WHERE true_label IS NULL)
-    SELECT * FROM gold_records WHERE true_label IS NOT NULL
+    SELECT * FROM gold_records WHERE true_label IN (
+      SELECT DISTINCT true_label FROM gold_records WHERE true_label IS NOT NULL ORDER BY 1 LIMIT 20)
     UNION ALL SELECT rec_id, given_name, surname, true_label FROM others
     WHERE no <= 2 * floor(20 / 0.2 - 20)"""
 )
@@ -423,7 +467,7 @@ def shuffle_pairs(spark, sf):
            (r * n - r * (r + 1) // 2)::BIGINT AS first_pair FROM ranked"""
 )
 def all_pairs(spark, sf):
-    return pairs.pair_runs(people(spark, sf), ID)
+    return _whole(pairs.pair_runs(people(spark, sf), ID), "first_pair")
 
 
 def _labelled_pairs(spark, sf):
@@ -836,7 +880,7 @@ MATCHES = sql.block_matches(WEIGHTS, INTERCEPT)
            (r * n - r * (r + 1) // 2)::BIGINT AS first_pair FROM ranked"""
 )
 def block_pairs(spark, sf):
-    return pairs.pair_runs(people(spark, sf), ID, [BLOCK])
+    return _whole(pairs.pair_runs(people(spark, sf), ID, [BLOCK]), "first_pair")
 
 
 @query(
@@ -845,7 +889,8 @@ def block_pairs(spark, sf):
     count(*) FILTER (WHERE label = -1) AS unknown_pairs FROM block GROUP BY cluster_id"""
 )
 def block_pair_labels(spark, sf):
-    return scoring.block_pair_labels(people(spark, sf), PEOPLE, BLOCK)
+    found = scoring.block_pair_labels(people(spark, sf), PEOPLE, BLOCK)
+    return _whole(found, "duplicate_pairs", "nonduplicate_pairs", "unknown_pairs")
 
 
 def _profiles(spark, sf):
@@ -858,7 +903,7 @@ def _profiles(spark, sf):
 )
 def block_pair_distances(spark, sf):
     found = matching.accepted_pairs(_profiles(spark, sf), PEOPLE, RULE, BLOCK)
-    return _rounded(found).drop("n_known")
+    return _whole(_rounded(found).drop("n_known"), "n_pairs")
 
 
 @query(
@@ -868,9 +913,8 @@ def block_pair_distances(spark, sf):
            round(sum(n * (n - 1) // 2) / (sum(n) * (sum(n) - 1) // 2), 6)::DOUBLE AS ratio FROM sizes"""
 )
 def count_comparisons(spark, sf):
-    return scoring.count_comparisons(people(spark, sf), BLOCK).withColumn(
-        "ratio", F.round("ratio", 6)
-    )
+    found = scoring.count_comparisons(people(spark, sf), BLOCK)
+    return _whole(found, "block_pairs", "all_pairs").withColumn("ratio", F.round("ratio", 6))
 
 
 @query(
@@ -885,9 +929,8 @@ def train_block_classifier(spark, sf):
 
 @query(f"{MATCHES} SELECT pair_no, left_id, right_id, 1::BIGINT AS n_pairs FROM found")
 def duplicate_pairs(spark, sf):
-    return matching.duplicate_pairs(_profiles(spark, sf), PEOPLE, RULE, BLOCK).select(
-        "pair_no", "left_id", "right_id", "n_pairs"
-    )
+    found = matching.duplicate_pairs(_profiles(spark, sf), PEOPLE, RULE, BLOCK)
+    return _whole(found.select("pair_no", "left_id", "right_id", "n_pairs"), "n_pairs")
 
 
 @query(
@@ -919,7 +962,8 @@ def duplicate_labels(spark, sf):
 def confusion_scores(spark, sf):
     df, profile_rows = people(spark, sf), _profiles(spark, sf)
     found = matching.duplicate_pairs(profile_rows, PEOPLE, RULE, BLOCK)
-    return scoring.confusion_scores(df, profile_rows, found, PEOPLE, BLOCK)
+    found = scoring.confusion_scores(df, profile_rows, found, PEOPLE, BLOCK)
+    return _whole(found, "tp", "fp", "tn", "fn")
 
 
 @query()
@@ -930,3 +974,51 @@ def dedupe_end_to_end(spark, sf):
     run.cluster(n_clusters=8, weight_exp=2, n_features=8)
     run.match()
     return run.labelled.select(ID, PEOPLE.match_col, BLOCK, PEOPLE.duplicate_col)
+
+
+@query(
+    f"""{MATCHES}, members AS (
+      SELECT left_id AS rec_id, pair_no FROM found UNION ALL SELECT right_id, pair_no FROM found
+    ), labels AS (
+      SELECT rec_id, string_agg(pair_no::VARCHAR || ' ', '' ORDER BY pair_no) AS label
+      FROM members GROUP BY rec_id)
+    SELECT p.rec_id, p.match_id, p.cluster_id, coalesce(l.label, '') AS duplicate_label
+    FROM people p LEFT JOIN labels l ON l.rec_id = p.rec_id"""
+)
+def dedupe_given_rule(spark, sf):
+    """The workflow from given blocks and a given rule to labels."""
+    run = Deduplication.of_blocks(people(spark, sf), PEOPLE)
+    run.match(rule=RULE)
+    return run.labelled.select(ID, PEOPLE.match_col, BLOCK, PEOPLE.duplicate_col)
+
+
+@query(
+    f"""WITH {sql.PEOPLE} SELECT count(*) AS n_records, 1 AS in_range, 1 AS consistent, 1 AS precise,
+    1 AS complete FROM people"""
+)
+def dedupe_end_to_end_checked(spark, sf):
+    """What must hold for the labels of the whole workflow, whatever it learns."""
+    run = Deduplication(checkpoint(_complete_people(spark, sf)), PEOPLE)
+    run.learn_weights()
+    run.embed(k=4, splits=2)
+    run.cluster(n_clusters=8, weight_exp=2, n_features=8)
+    labelled = checkpoint(run.match().select(ID, PEOPLE.match_col, BLOCK, "duplicate_numbers", PEOPLE.duplicate_col))
+    numbers = F.col("duplicate_numbers")
+    text = F.when(F.size(numbers) > 0, F.concat(F.array_join(numbers.cast("array<string>"), " "), F.lit(" ")))
+    ordered = (F.array_sort(numbers) == numbers) & (F.coalesce(text, F.lit("")) == F.col(PEOPLE.duplicate_col))
+    records = labelled.agg(
+        F.count(F.lit(1)).alias("n_records"),
+        flag(F.min(F.col(BLOCK).between(0, 7) & ordered)).alias("in_range"),
+    )
+    # every number is on the records of one pair, in one cluster
+    groups = labelled.select(BLOCK, F.explode("duplicate_numbers").alias("no")).groupBy("no").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(BLOCK).alias("blocks")
+    )
+    consistent = groups.agg(flag(F.coalesce(F.min((F.col("n") >= 2) & (F.col("blocks") == 1)), F.lit(False))).alias("consistent"))
+    known = labelled.where(F.col(PEOPLE.match_col).isNotNull()).groupBy(PEOPLE.match_col).count()
+    all_known = known.agg(F.sum(F.expr("count * (count - 1) / 2")).alias("known"))
+    scores = run.scores().crossJoin(all_known).select(
+        flag(F.col("precision") >= LEAST_PRECISION).alias("precise"),
+        flag(F.col("tp") / F.col("known") >= LEAST_RECALL).alias("complete"),
+    )
+    return records.crossJoin(consistent).crossJoin(scores)

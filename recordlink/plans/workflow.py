@@ -6,15 +6,22 @@ from collections.abc import Sequence
 
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from recordlink.config import RecordSpec
 from recordlink.operators import matching, scoring
 from recordlink.operators.classify import LinearRule
 from recordlink.operators.cleaning import preprocess
 from recordlink.operators.clustering import ClusterModel, elbow, fit_clusters
-from recordlink.operators.embedding import choose_basis, collect_basis, embed, tiled_weights
+from recordlink.operators.embedding import (
+    check_measurable,
+    choose_basis,
+    collect_basis,
+    embed,
+    tiled_weights,
+)
 from recordlink.operators.pairs import limit_pairs, records_with_gold, strict_pairs, working_set
-from recordlink.operators.training import Trained, block_distances, gold_distances, train
+from recordlink.operators.training import PARTNERS, Trained, block_distances, gold_distances, train
 from recordlink.session import checkpoint, spread
 from recordlink.sources.files import load_records, save_records
 
@@ -43,12 +50,18 @@ class Deduplication:
         nrows: int | None = None,
         schema=None,
         clean: bool = True,
+        gold: str | None = None,
     ) -> "Deduplication":
-        """Read a table from files and, unless told otherwise, clean it."""
-        df = load_records(spark, path, schema, nrows, spec.id_col)
-        if clean:
-            df = preprocess(df, spec, geo)
-        return Deduplication(df, spec)
+        """Read a table from files and, unless told otherwise, clean it.
+
+        ``gold`` is the path of a table to learn the weights from; it is cleaned as well.
+        """
+
+        def read(source: str, rows: int | None) -> DataFrame:
+            df = load_records(spark, source, schema, rows, spec.id_col)
+            return preprocess(df, spec, geo) if clean else df
+
+        return Deduplication(read(path, nrows), spec, None if gold is None else read(gold, None))
 
     @staticmethod
     def of_blocks(records: DataFrame, spec: RecordSpec) -> "Deduplication":
@@ -94,9 +107,15 @@ class Deduplication:
         skew: bool = True,
         basis: DataFrame | Sequence[Row] | None = None,
         spec: RecordSpec | None = None,
+        labels: DataFrame | None = None,
     ) -> DataFrame:
-        """Embed all records, or with ``n`` the gold pairs and others up to ``ratio``."""
+        """Embed all records, or with ``n`` the gold pairs and others up to ``ratio``.
+
+        ``labels`` (id and ``true_label``) replaces the labels of the strict pairs, for
+        instance to count groups of three or more in ``cluster_score``.
+        """
         spec = (spec or self.spec).validate(self.records)
+        check_measurable(self.records, spec)
         self.weights = None
         if skew:
             learnt = self._step("weights_model", "learn_weights").classifier.coefficients
@@ -109,6 +128,9 @@ class Deduplication:
         if n is not None:
             pairs = limit_pairs(pairs, n, self.spec.seed)
         records = records_with_gold(self.records, checkpoint(pairs), self.spec)
+        if labels is not None:
+            own = labels.select(self.spec.id_col, "true_label")
+            records = records.drop("true_label").join(own, self.spec.id_col, "left")
         if n is not None:
             records = working_set(checkpoint(records), self.spec.id_col, n, ratio)
         records = spread(checkpoint(records))
@@ -123,14 +145,20 @@ class Deduplication:
 
     def cluster(
         self,
-        n_clusters: int = 400,
+        n_clusters: int | str = 400,
         weight_exp: float = 8,
         n_features: int | None = 16,
         standardize: bool = True,
         estimator: Estimator | None = None,
     ) -> DataFrame:
-        """Cluster the weighted embeddings; clusters are the blocks of the next step."""
+        """Cluster the weighted embeddings; clusters are the blocks of the next step.
+
+        ``n_clusters`` may be ``"suggested"``: the table's size over its logarithm, for
+        tables of up to about a million records, as the centres are held on the driver.
+        """
         embedded = self._step("embedded", "embed")
+        if n_clusters == "suggested":
+            n_clusters = max(2, round(scoring.suggested_clusters(max(embedded.count(), 3))))
         self.cluster_model: ClusterModel = fit_clusters(
             embedded, EMBEDDING, n_clusters, self.weights, weight_exp, n_features, standardize,
             estimator, self.spec.seed,
@@ -166,22 +194,36 @@ class Deduplication:
         test_size: float = 0.4,
         rule: LinearRule | None = None,
         spec: RecordSpec | None = None,
+        partners: int = PARTNERS,
+        keys: Sequence[Sequence[str]] | None = None,
     ) -> DataFrame:
         """Find the duplicates inside clusters and label the records with them.
 
-        The rule is learnt on pairs inside clusters, unless one is given.
+        The rule is learnt on pairs inside clusters, unless one is given. It is learnt
+        where ``ratio`` of the pairs are duplicates; for the blocks, where far fewer are,
+        its intercept is moved by the log odds of the two shares, which counts tell. An
+        estimator that learns no linear rule needs ``keys``, sets of columns: it predicts
+        the pairs that agree on all columns of one of them.
         """
         clustered = self._step("clustered", "cluster")
         self.match_spec = spec = (spec or self.spec).validate(clustered)
         block = self.spec.cluster_col
         self.comparisons = scoring.count_comparisons(clustered, block)
         if rule is None:
-            labelled = block_distances(clustered, spec, block, n, ratio)
+            labelled = block_distances(clustered, spec, block, n, ratio, partners)
             self.match_model = train(labelled, spec, estimator, standardize, training, test_size)
-            rule = self.match_model.classifier.rule
+            classifier = self.match_model.classifier
+            rule = classifier.rule if hasattr(classifier.model, "coefficients") else classifier
+            if self.match_model.classifier.is_logistic:
+                n_true, n_false = self.match_model.n_true, self.match_model.n_false
+                sums = scoring.block_pair_labels(clustered, spec, block).agg(
+                    F.sum("duplicate_pairs").cast("double"), F.sum("nonduplicate_pairs").cast("double")
+                ).first()
+                known = (sums[0] or 0.0) + (sums[1] or 0.0)
+                rule = rule.for_share(n_true / max(n_true + n_false, 1), (sums[0] or 0.0) / max(known, 1.0))
         self.rule = rule
         self.profiles = checkpoint(matching.profiles(clustered, spec, block))
-        self.pairs = matching.duplicate_pairs(self.profiles, spec, rule, block)
+        self.pairs = matching.duplicate_pairs(self.profiles, spec, rule, block, keys)
         self.labelled = matching.duplicate_labels(clustered, self.profiles, self.pairs, spec, block)
         return self.labelled
 
