@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordlink.config import RecordSpec
 from recordlink.operators import matching, scoring
-from recordlink.operators.classify import LinearRule
+from recordlink.operators.classify import LinearRule, cut_for_share
 from recordlink.operators.cleaning import preprocess
 from recordlink.operators.clustering import ClusterModel, elbow, fit_clusters
 from recordlink.operators.embedding import (
@@ -200,8 +200,8 @@ class Deduplication:
         """Find the duplicates inside clusters and label the records with them.
 
         The rule is learnt on pairs inside clusters, unless one is given. It is learnt
-        where ``ratio`` of the pairs are duplicates; for the blocks, where far fewer are,
-        its intercept is moved by the log odds of the two shares, which counts tell. An
+        where ``ratio`` of the pairs are duplicates; in the blocks far fewer are, so its cut
+        is moved to where F1 is best with the shares that the blocks' counts tell. An
         estimator that learns no linear rule needs ``keys``, sets of columns: it predicts
         the pairs that agree on all columns of one of them.
         """
@@ -214,13 +214,14 @@ class Deduplication:
             self.match_model = train(labelled, spec, estimator, standardize, training, test_size)
             classifier = self.match_model.classifier
             rule = classifier.rule if hasattr(classifier.model, "coefficients") else classifier
-            if self.match_model.classifier.is_logistic:
-                n_true, n_false = self.match_model.n_true, self.match_model.n_false
+            if isinstance(rule, LinearRule):
                 sums = scoring.block_pair_labels(clustered, spec, block).agg(
                     F.sum("duplicate_pairs").cast("double"), F.sum("nonduplicate_pairs").cast("double")
                 ).first()
-                known = (sums[0] or 0.0) + (sums[1] or 0.0)
-                rule = rule.for_share(n_true / max(n_true + n_false, 1), (sums[0] or 0.0) / max(known, 1.0))
+                n_true, n_false = self.match_model.n_true, self.match_model.n_false
+                if sums[0] and n_true and n_false:
+                    false_weight = (sums[1] / n_false) / (sums[0] / n_true)
+                    rule = cut_for_share(rule, self.match_model.train, false_weight)
         self.rule = rule
         self.profiles = checkpoint(matching.profiles(clustered, spec, block))
         self.pairs = matching.duplicate_pairs(self.profiles, spec, rule, block, keys)
