@@ -20,9 +20,10 @@ or is given up (``MISS``). Work in cells grows with the square of the number of
 *different* texts that share a bucket, rows sent with the square over the block size.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a
-null or empty text has an empty set and is linked with nothing; a null id gets a null
-component unless the group has a smaller one; rows that repeat an id are documents of
-their own; extra columns are left out.
+null or empty text has an empty set and is linked with nothing; a text that only null ids
+have is linked with no other text and has a null component, and a copy with a null id gets
+the component of its text; rows that repeat an id are documents of their own; extra
+columns are left out.
 """
 
 from __future__ import annotations
