@@ -3,10 +3,15 @@
 Fixed masks look at some positions of a window of words and ignore the others, so a hit
 survives substitutions at the ignored ones. The masks' hashes of all benchmark items are
 the index; the hashes of every window of every document are looked up in it. Around each
-hit document and item are laid over each other, word by word, and the best stretch is
-found: an equal word counts 1, a different one -3. It is an overlap if it has
-``MIN_OVERLAP`` words (or the whole item, if that is shorter) and at least ``MIN_EQUAL`` of
-them are equal.
+hit document and item are laid over each other, word by word. A stretch is an overlap if
+it has ``MIN_OVERLAP`` words (or the whole item, if that is shorter) and at least
+``MIN_EQUAL`` of them are equal. The longest is found from prefix sums in which an equal
+word counts 1 and a different one -4: its sum is 0 or more. Different words at its ends are
+then left out down to the least length.
+
+The masks miss nothing: m different words leave m + 1 runs of equal ones, and with
+``MIN_EQUAL`` of 6 words or more equal either a run has four words, or two runs with three
+words and two around a different one fit the second mask (tests lay out all cases).
 
 The benchmark is the stated query set. It is taken in blocks of bounded size, and each
 block's index is broadcast; the documents are read row by row without a shuffle, so
@@ -32,10 +37,14 @@ from pyspark.sql import functions as F
 from recordlink.llm.common import only, table
 
 # 1: the word counts, 0: it is ignored
-MASKS = ("111111", "1110010111", "11011000111", "1010100110101")
+MASKS = ("1111", "110011")
 MIN_OVERLAP = 12
 MIN_WORDS = 6
 MIN_EQUAL = 0.8
+# What a different word costs if an equal one gains 1: MIN_EQUAL are equal from sum 0 on.
+LOSS = round(MIN_EQUAL / (1 - MIN_EQUAL))
+# Hits, or words of alignments, that are looked at together.
+TOGETHER = 2_000_000
 # Characters of benchmark text in a block.
 BLOCK_CHARS = 4_000_000
 
@@ -94,9 +103,14 @@ class SeedIndex:
             places.append(np.stack([item, at], axis=1).reshape(-1, 2)[order].astype(np.int64))
         return SeedIndex(codes, ids, items, hashes, places)
 
-    def _hits(self, codes: np.ndarray) -> set[tuple[int, int]]:
-        """Item number and shift (place in the document less place in the item)."""
-        hits: set[tuple[int, int]] = set()
+    def __post_init__(self) -> None:
+        self.sizes = np.array([len(item) for item in self.items], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.every = np.concatenate([*self.items, np.empty(0, dtype=np.int64)])
+        self.least = np.minimum(MIN_OVERLAP, self.sizes)
+
+    def _hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Item numbers and shifts (place in the document less place in the item), in parts."""
         for mask, hashes, places in zip(MASKS, self.hashes, self.places):
             seen = seed_hashes(codes, mask)
             at = np.nonzero(seen)[0]
@@ -106,11 +120,39 @@ class SeedIndex:
             first_hash = hashes[np.minimum(first, len(hashes) - 1)]
             there = first_hash == seen[at]
             at, first = at[there], first[there]
-            last = np.searchsorted(hashes, seen[at], "right")
-            for place, low, high in zip(at.tolist(), first.tolist(), last.tolist()):
-                for item, start in places[low:high].tolist():
-                    hits.add((item, place - start))
-        return hits
+            n = np.searchsorted(hashes, seen[at], "right") - first
+            for part in _parts(n):
+                n_of, place = n[part], places[_ranges(first[part], n[part])]
+                shift = np.repeat(at[part], n_of) - place[:, 1]
+                # no shift is below the length of the longest item, or beyond the text
+                width = len(codes) + len(self.every) + 1
+                key = np.unique(place[:, 0] * width + shift + len(self.every))
+                yield key // width, key % width - len(self.every)
+
+    def _overlapping(self, codes: np.ndarray, item: np.ndarray, shift: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Those of the alignments that hold an overlap."""
+        begin = np.maximum(0, shift)
+        size = np.minimum(len(codes), shift + self.sizes[item]) - begin
+        long = size >= self.least[item]
+        item, shift, begin, size = item[long], shift[long], begin[long], size[long]
+        for part in _parts(size + 1):
+            n, of = size[part], item[part]
+            in_item = self.starts[of] + begin[part] - shift[part]
+            equal = codes[_ranges(begin[part], n)] == self.every[_ranges(in_item, n)]
+            # prefix sums of each alignment, from 0 on
+            heads = np.cumsum(n + 1) - (n + 1)
+            steps = np.zeros(len(equal) + len(n), dtype=np.int64)
+            steps[_ranges(heads + 1, n)] = np.where(equal, 1, -LOSS)
+            gain = np.cumsum(steps)
+            gain -= np.repeat(gain[heads], n + 1)
+            # an alignment's sums lie below all those of the one before, so its minima are its own
+            below = np.repeat(np.arange(len(n)) * (int(n.max()) + 1) * (LOSS + 1), n + 1)
+            lowest = np.minimum.accumulate(gain - below) + below
+            least = self.least[of]
+            rest = n + 1 - least
+            ends = gain[_ranges(heads + least, rest)] >= lowest[_ranges(heads, rest)]
+            for k in np.nonzero(np.add.reduceat(ends, np.cumsum(rest) - rest))[0]:
+                yield int(of[k]), int(shift[part][k])
 
     def overlaps(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """The longest overlap with each item: item id, first word, end, equal words."""
@@ -118,8 +160,9 @@ class SeedIndex:
             return []
         known = self.codes
         codes = np.array([known.get(w, -1) for w in words_of(text)], dtype=np.int64)
+        alignments = {found for hits in self._hits(codes) for found in self._overlapping(codes, *hits)}
         best: dict[int, tuple[int, int, int]] = {}
-        for item, shift in self._hits(codes):
+        for item, shift in alignments:
             found = self._stretch(codes, self.items[item], shift)
             if found and (item not in best or (found[2], -found[0]) > (best[item][2], -best[item][0])):
                 best[item] = found
@@ -129,15 +172,31 @@ class SeedIndex:
     def _stretch(codes: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
         begin, end = max(0, shift), min(len(codes), shift + len(item))
         equal = codes[begin:end] == item[begin - shift : end - shift]
-        gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-        lowest = np.minimum.accumulate(gain)
-        stop = int(np.argmax(gain - lowest))
-        # the last place with the lowest sum before: the shortest best stretch
-        start = int(np.nonzero(gain[: stop + 1] == lowest[stop])[0][-1])
-        length, n_equal = stop - start, int(equal[start:stop].sum())
-        if length < min(MIN_OVERLAP, len(item)) or n_equal < MIN_EQUAL * length:
+        gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -LOSS))])
+        # the first place before each end from which the sum is 0 or more
+        first = np.searchsorted(-np.minimum.accumulate(gain), -gain, "left")
+        stop = int(np.argmax(np.arange(len(gain)) - first))
+        start, least = int(first[stop]), min(MIN_OVERLAP, len(item))
+        if stop - start < least:
             return None
-        return begin + start, begin + stop, n_equal
+        while stop - start > least and not equal[stop - 1]:
+            stop -= 1
+        while stop - start > least and not equal[start]:
+            start += 1
+        return begin + start, begin + stop, int(equal[start:stop].sum())
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``first``, ``first`` + 1 and so on, ``n`` of each, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _parts(n: np.ndarray) -> Iterator[slice]:
+    """Consecutive parts with a sum of about ``TOGETHER``."""
+    if len(n):
+        cuts = np.nonzero(np.diff(np.cumsum(n) // TOGETHER))[0] + 1
+        for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
+            yield slice(at, end)
 
 
 def _index_blocks(benchmark: DataFrame) -> list[SeedIndex]:

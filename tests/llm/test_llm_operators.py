@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their defined odd cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -527,3 +528,46 @@ def test_seeds_find_what_a_full_search_finds():
             found += 1
             missed += trial % 4 not in [o[0] for o in index.overlaps(" ".join(words))]
     assert found > 150 and missed <= 0.01 * found
+
+
+def plain_overlap(words, item):
+    """The stated rule on every stretch of every alignment."""
+    least = min(decontaminate.MIN_OVERLAP, len(item))
+    for shift in range(-len(item) + 1, len(words)):
+        begin, end = max(0, shift), min(len(words), shift + len(item))
+        equal = [words[i] == item[i - shift] for i in range(begin, end)]
+        for i in range(len(equal)):
+            for j in range(i + least, len(equal) + 1):
+                if 5 * sum(equal[i:j]) >= 4 * (j - i):
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("n", range(6, 21))
+def test_overlaps_with_all_substitutions(n):
+    item = [f"i{i}" for i in range(n)]
+    index = decontaminate.SeedIndex.of([(7, " ".join(item))])
+    for changed in itertools.combinations(range(n), n // 5):
+        words = ["new" if i in changed else w for i, w in enumerate(item)]
+        found = index.overlaps(" ".join(["before", *words, "after"]))
+        assert [o[0] for o in found] == [7], changed
+        _, start, stop, n_equal = found[0]
+        assert stop - start >= min(12, n) and 5 * n_equal >= 4 * (stop - start)
+        assert n_equal == sum(w.startswith("i") for w in ["before", *words, "after"][start:stop])
+
+
+def test_overlaps_equal_a_plain_search(monkeypatch):
+    rng = random.Random(3)
+    items = [rng_words(i, rng.randrange(6, 30), 60) for i in range(12)]
+    index = decontaminate.SeedIndex.of([(i, " ".join(item)) for i, item in enumerate(items)])
+    n_found = 0
+    for trial in range(150):
+        if trial == 75:
+            monkeypatch.setattr(decontaminate, "TOGETHER", 10)
+        item = items[trial % 12]
+        part = item[rng.randrange(3) :][: rng.randrange(5, 30)]
+        words = rng_words(500 + trial, 5, 60) + [w if rng.random() < 0.8 else rng.choice(item) for w in part] + rng_words(900 + trial, 5, 60)
+        want = [i for i, x in enumerate(items) if plain_overlap(words, x)]
+        assert [o[0] for o in index.overlaps(" ".join(words))] == want
+        n_found += len(want)
+    assert 40 < n_found < 150
