@@ -7,10 +7,12 @@ the one with the largest sum over its words.
 
 Words and n-grams are counted over all labelled rows: words are pre-counted per task, and
 n-grams are counted from the word counts, so what is shuffled is as large as the
-vocabulary. The model keeps what makes up at least ``MIN_SHARE`` of its language's words
-(or of its n-grams of that length), so it has at most ``1 / MIN_SHARE`` of each per
-language at any size of input; that bounds what is collected and broadcast. Texts are
-scored row by row without a shuffle; no source can be hot.
+vocabulary. The model keeps what makes up at least ``MIN_SHARE`` of some language's words
+(or of its n-grams of that length), with its counts in all languages. So it has at most
+``1 / MIN_SHARE`` items of each kind per language at any size of input; that bounds what
+is collected and broadcast. Frequencies are shares to which a constant is added, so they do
+not depend on the size of the input either. Texts are scored row by row without a shuffle;
+no source can be hot.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is
 every text if nothing could be learned; equal sums go to the first language in
@@ -20,7 +22,6 @@ columns pass through ``identify`` untouched.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ MIN_SHARE = 2e-5
 MAX_LANGUAGES = 300
 # Words per task that are counted before they are sent on.
 FLUSH = 200_000
-# Added to a count of zero.
-SMOOTHING = 0.1
+# Added to each share, a tenth of the least that is kept.
+SMOOTHING = 0.1 * MIN_SHARE
 # Confidence is judged as if a longer text had this many words.
 SURE_WORDS = 40
 
@@ -133,14 +134,11 @@ def _scores(kept: list, languages: list[str], totals: dict, of_total) -> tuple[d
     rows: dict[str, int] = {}
     for r in kept:
         rows.setdefault(r["item"], len(rows))
-    counts = np.full((len(rows), len(languages)), SMOOTHING)
+    shares = np.full((len(rows), len(languages)), SMOOTHING)
     place = {lang: i for i, lang in enumerate(languages)}
     for r in kept:
-        counts[rows[r["item"]], place[r["lang"]]] += r["n"]
-    for item, row in rows.items():
-        for lang, i in place.items():
-            counts[row, i] = math.log(counts[row, i] / (totals.get((lang, of_total(item)), 0) + 1.0))
-    return rows, counts
+        shares[rows[r["item"]], place[r["lang"]]] += r["n"] / totals[r["lang"], of_total(r["item"])]
+    return rows, np.log(shares)
 
 
 def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
@@ -151,7 +149,7 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
     words = written(words, "language-words")
 
     def kept(counts: DataFrame, group: Column) -> tuple[list, dict]:
-        """What makes up ``min_share`` of its language and group; and all totals."""
+        """All counts of what makes up ``min_share`` of a language and group; and all totals."""
         counts = counts.withColumn("of", group)
         sums = counts.groupBy("lang", "of").agg(F.sum("n").alias("total"))
         totals = {(r["lang"], r["of"]): r["total"] for r in sums.limit(MAX_LANGUAGES * 10).collect()}
@@ -159,7 +157,9 @@ def learn(labelled: DataFrame, min_share: float = MIN_SHARE) -> Model:
             raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
         # at most 300 languages of five orders
         common = counts.join(F.broadcast(sums), ["lang", "of"]).where(F.col("n") >= min_share * F.col("total"))
-        return common.select("lang", "item", "n").orderBy("item", "lang").collect(), totals
+        # as many as the model has
+        chosen = counts.join(F.broadcast(common.select("item").distinct()), "item", "left_semi")
+        return chosen.select("lang", "item", "n").orderBy("item", "lang").collect(), totals
 
     known, word_totals = kept(words, F.lit("0"))
     grams = words.mapInPandas(_count_ngrams, schema).groupBy("lang", "item").agg(F.sum("n").alias("n"))

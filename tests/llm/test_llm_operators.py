@@ -158,6 +158,26 @@ def test_language_backs_off_and_odd_texts(spark):
     assert got == ["und", "und", "de"]
 
 
+def test_language_counts_of_common_words_in_all_languages(spark):
+    rows = [("aa", "shared " * 21 + "alpha " * 979), ("bb", "shared " * 19 + "beta " * 981)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    model = language.learn(labelled, min_share=0.02)
+    assert model.languages == ["aa", "bb"]
+    shared = np.exp(model.scores[model.words["shared"]])
+    assert shared == pytest.approx([0.021, 0.019], rel=1e-3)
+    # one word that both use does not outweigh others
+    assert model.predict("shared shared shared beta")[0] == "bb"
+
+
+def test_language_model_is_alike_at_every_size(spark):
+    rows = [("aa", "one two two three three three"), ("bb", "un deux deux trois trois trois")]
+    schema = "lang string, text string"
+    small = language.learn(spark.createDataFrame(rows, schema))
+    large = language.learn(spark.createDataFrame(rows * 200, schema))
+    assert small.words == large.words and small.grams == large.grams
+    assert np.allclose(small.scores, large.scores)
+
+
 def test_language_without_labels(spark):
     model = language.learn(spark.createDataFrame([], "text string, lang string"))
     assert model.predict("words") == ("und", 0.0)
