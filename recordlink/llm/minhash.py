@@ -368,7 +368,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = written(classes, "classes")
-    clusters = written(_clusters(classes).withColumn("_one", F.lit(1)), "clusters")
+    # a text without any id is linked with no other, so it is neither hub nor member
+    named_classes = classes.where("least_id IS NOT NULL")
+    clusters = written(_clusters(named_classes).withColumn("_one", F.lit(1)), "clusters")
     cells = _in_cells(clusters, "_one", BLOCK_CLASSES, classes.select("node", "signature"))
     survivors = written(
         cells.mapInPandas(_survivors(threshold), "hub long, node long").distinct(), "survivors"

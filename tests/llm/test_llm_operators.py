@@ -290,6 +290,17 @@ def test_near_copies_odd_rows(spark):
     assert none.collect() == []
 
 
+def test_near_copies_of_a_text_without_id(spark):
+    centre = rng_words(32, 120, 10**6)
+    copies = [" ".join([*centre[:i], "new", *centre[i + 1 :]]) for i in range(5, 115, 10)]
+    # the text without id meets most others
+    rows = [(None, " ".join(centre)), *enumerate(copies)]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found}
+    assert got.pop(None)[1] is None and [got[i] for i in range(len(copies))] == brute_components(copies, 3, 85)
+    assert [r["doc_id"] for r in found if r["kept"] and r["doc_id"] is not None] == [0]
+
+
 def test_bayes_bounds_keep_similar_pairs():
     least = minhash.least_equal(0.85)
     assert list(least) == sorted(least) and all(m < n * 0.85 for m, n in zip(least, range(16, 145, 16)))
