@@ -7,16 +7,17 @@ weights the stacks of the components that have it are summed by carry-save adder
 rows per machine word, and the sums are added with their shifts. From the most
 significant slice of the result downward the k best rows are selected. What was rounded
 away changes a score by a bound that is known, so the rows within twice that bound of the
-k-th are resolved by their exact integer inner products. Every row is indexed, and the
-answer is exact.
+k-th are resolved by their exact integer inner products. Vectors with components that do
+not fit ``MOST_BITS`` bits once quantised are not indexed: in the same cells floating-point
+scores with their error bound choose the rows that are scored in exact wide integers.
+Every row is looked at, and the answer is exact.
 
 Queries meet every block of rows, which is what was asked; both sides are dealt into
 blocks of bounded size by a hash of the id, so equal vectors do not meet in one task. The
 best k of each block are reduced per query.
 
-Defined cases: vectors that are null, empty, or hold null or non-finite components, or
-components that do not fit ``MOST_BITS`` bits once quantised, take no part; null ids
-neither; vectors are compared with vectors of their length; rows that repeat an id are
+Defined cases: vectors that are null, empty, or hold null or non-finite components take no
+part; null ids neither; an answer with a score that does not fit in a long is an error; vectors are compared with vectors of their length; rows that repeat an id are
 candidates of their own, and such an id asks once, with its smallest vector; fewer than k
 candidates are all returned; extra columns are left out.
 """
@@ -46,16 +47,21 @@ MOST_BITS = 26
 
 
 def quantised(vector: Column) -> Column:
-    """``floor(256 * x)`` of each component, x as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("bigint"))
+    """``floor(256 * x)`` of each component, x as double: integers, held as doubles."""
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * SCALE
+        # beyond, doubles are integers
+        return F.when(F.abs(scaled) < float(1 << 52), F.floor(scaled).cast("double")).otherwise(scaled)
+
+    return F.transform(vector, whole)
 
 
 def usable(vector: Column) -> Column:
-    limit = float(1 << MOST_BITS)
-    fits = F.forall(
-        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < limit)
+    finite = F.forall(
+        vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
     )
-    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fits, F.lit(False))
+    return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
 
 
 def _added(stack: np.ndarray) -> np.ndarray:
@@ -186,16 +192,49 @@ class BlockIndex:
         return out
 
 
+def _wide_best(query_id: int, query: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple]:
+    """``(query id, row id, exact score)`` of the best k rows, for components of any size."""
+    others = ids != query_id
+    ids, rows = ids[others], rows[others]
+    if len(ids) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = rows @ query
+            slack = np.abs(rows) @ np.abs(query) * ((len(query) + 4) * 2.0**-52)
+            low, high = score - slack, score + slack
+        if np.isfinite(low).all() and np.isfinite(high).all():
+            near = high >= np.partition(low, -k)[-k]
+            ids, rows = ids[near], rows[near]
+    weights = [int(x) for x in query.tolist()]
+    exact = [sum(int(x) * w for x, w in zip(row, weights)) for row in rows.tolist()]
+    best = sorted(zip(exact, ids.tolist()), key=lambda found: (-found[0], found[1]))[:k]
+    return [(query_id, row_id, score) for score, row_id in best]
+
+
 def _search_cell(k: int):
+    least, most = -(1 << 63), (1 << 63) - 1
+
     def search(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(queries):
-            index = BlockIndex(rows["vec_id"].to_numpy(), np.stack(rows["vector"]).astype(np.int64))
-            asked = np.stack(queries["vector"]).astype(np.int64)
-            ids = queries["query_id"].to_numpy()
-            for at in range(0, len(ids), TOGETHER):
-                out += index.best(ids[at : at + TOGETHER], asked[at : at + TOGETHER], k)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            row_ids, ids = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+            vectors, asked = np.stack(rows["vector"]), np.stack(queries["vector"])
+            # what the index adds up fits in a long
+            limit = min(1 << MOST_BITS, math.isqrt((1 << 62) // vectors.shape[1]))
+            fits, asked_fits = np.abs(vectors).max(axis=1) < limit, np.abs(asked).max(axis=1) < limit
+            if fits.any() and asked_fits.any():
+                index = BlockIndex(row_ids[fits], vectors[fits].astype(np.int64))
+                some_ids, some = ids[asked_fits], asked[asked_fits].astype(np.int64)
+                for at in range(0, len(some_ids), TOGETHER):
+                    out += index.best(some_ids[at : at + TOGETHER], some[at : at + TOGETHER], k)
+            wide_ids, wide = row_ids[~fits], vectors[~fits]
+            for query_id, query, small in zip(ids.tolist(), asked, asked_fits):
+                if not small:
+                    out += _wide_best(query_id, query, row_ids, vectors, k)
+                elif len(wide):
+                    out += _wide_best(query_id, query, wide_ids, wide, k)
+        held = [(q, i, min(max(int(x), least), most), least <= x <= most) for q, i, x in out]
+        kinds = {"query_id": "int64", "vec_id": "int64", "score": "int64", "fits": "bool"}
+        return pd.DataFrame(held, columns=list(kinds)).astype(kinds)
 
     return search
 
@@ -234,11 +273,13 @@ def top_k(
     found = (
         rows.groupBy(*cell)
         .cogroup(asked.groupBy(*cell))
-        .applyInPandas(_search_cell(k), "query_id long, vec_id long, score long")
+        .applyInPandas(_search_cell(k), "query_id long, vec_id long, score long, fits boolean")
     )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("fits"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best_first))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    too_large = F.raise_error(F.lit("a score of the answer does not fit in a long")).cast("long")
+    score = F.when(F.col("fits"), F.col("score")).otherwise(too_large).alias("score")
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

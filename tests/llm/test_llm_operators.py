@@ -412,6 +412,23 @@ def test_top_k_equals_brute_force(spark, scale):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == brute_top(rows, 5)
 
 
+def test_top_k_keeps_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).astype("f4").tolist()) for i in range(300)]
+    # as candidates and as queries, far beyond a long with nothing to multiply it, and alike
+    for i, x in [(7, 3e5), (50, -4e6), (51, 4e6), (100, 262144.0), (101, 5e8)]:
+        rows[i][1][i % 6] = x
+    rows += [(301, [0.0, 3e30, 0.0, 0.0]), (350, [1.0, 0.0, 2.0, 3.0]), (302, [2.0, 0.0, 1.0, 2.0])]
+    rows += [(400 + i, rows[51][1]) for i in range(1, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=60, block_queries=4).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
+    assert got == brute_top(rows, 5) and {50, 100} <= {r[0] for r in got} and 301 in {r[2] for r in got}
+    beyond = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="does not fit in a long"):
+        topk.top_k(beyond, F.col("vec_id") % 50 == 0).collect()
+
+
 def test_top_k_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("vec_id") % 50 == 0).collect() == []
