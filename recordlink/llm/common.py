@@ -10,6 +10,17 @@ from recordlink.session import scratch_path
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+# of UTF-8: letters and digits of ASCII, lower-cased, and all bytes beyond it; else a space
+_WORD_BYTES = bytes(
+    b if b >= 128 or chr(b) in "0123456789" + LOWER else b + 32 if chr(b) in UPPER else 32
+    for b in range(256)
+)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Maximal runs of ASCII letters (lower-cased), digits and characters beyond ASCII."""
+    return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark wherever it lies."""
