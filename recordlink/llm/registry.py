@@ -9,6 +9,7 @@ from recordlink.llm.language import op3_language_id
 from recordlink.llm.lexical_search import OP11_SQL, op11_lexical_search
 from recordlink.llm.line_dedup import OP8_SQL, op8_line_dedup
 from recordlink.llm.minhash import op5_minhash
+from recordlink.llm.ngram_join import OP13_SQL, op13_ngram_join
 from recordlink.llm.packing import op6_best_fit_packing
 from recordlink.llm.pii import OP9_SQL, op9_pii
 from recordlink.llm.resampling import OP12_SQL, op12_resampling
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_lexical_search": op11_lexical_search,
     "op12_resampling": op12_resampling,
+    "op13_ngram_join": op13_ngram_join,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -39,4 +41,5 @@ ORACLES = {
     "op9_pii": OP9_SQL,
     "op11_lexical_search": OP11_SQL,
     "op12_resampling": OP12_SQL,
+    "op13_ngram_join": OP13_SQL,
 }
