@@ -84,6 +84,20 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mixed_runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    n = len(hashes) - width + 1
+    # the number of words is part of the hash, so a short text equals no shingle of a long one
+    total = np.full(n, np.uint64(width), dtype=np.uint64)
+    for i in range(width):
+        total = _mixed(total * _MIX[0] + hashes[i : i + n] * _MIX[1] + _MIX[2])
+    return total
+
+
 def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``words`` words.
 
@@ -92,14 +106,7 @@ def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not found:
         return np.empty(0, dtype=np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
-    width = min(words, len(hashes))
-    n = len(hashes) - width + 1
-    # the number of words is part of the hash, so a short text equals no shingle of a long one
-    total = np.full(n, np.uint64(width), dtype=np.uint64)
-    for i in range(width):
-        total = _mixed(total * _MIX[0] + hashes[i : i + n] * _MIX[1] + _MIX[2])
-    return np.unique(total)
+    return np.unique(mixed_runs(word_hashes(found), min(words, len(found))))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:

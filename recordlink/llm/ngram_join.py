@@ -12,10 +12,11 @@
    a rare shingle share a cluster. Each row goes to its cluster; no pair is written down.
 3. Sets are held against each other fragment by fragment: a fragment's partial overlaps are
    counted by themselves and added up per pair, and a pair goes as soon as the fragments
-   left cannot bring it to the threshold. First every member meets its hub, in blocks of
-   bounded size. Members linked to the hub need not meet each other, for they are in one
-   component. Only members that are not linked to it meet all others, in cells of two
-   blocks. Every sum is exact; there is no other decision on a pair.
+   left cannot bring it to the threshold. The prefixes come first, alone; only classes that
+   are in a possible pair after them bring their whole sets, which are then read in
+   ``FRAGMENTS``. Each time every member meets its hub, in blocks of bounded size. Members
+   linked to the hub need not meet each other, for they are in one component; only members
+   that are not meet all others, in cells of two blocks. Every sum is exact.
 4. Connected components of the links are the groups. A cell returns a star per component.
 
 Work is linear in a group of copies as far as they are linked to their hub; members that
@@ -30,7 +31,8 @@ has an id); rows that repeat an id are documents of their own; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -41,14 +43,15 @@ from pyspark.sql import functions as F
 from recordlink.llm.clusters import groups_of, hub_clusters
 from recordlink.llm.common import LOWER, UPPER, only, table, written
 from recordlink.llm.components import components
-from recordlink.llm.minhash import shingle_hashes
+from recordlink.llm.minhash import mixed_runs, shingle_hashes, word_hashes
 from recordlink.operators.ordering import join_group_facts
+from recordlink.session import is_small
 
 COUNTERS = 1 << 20
 FRAGMENTS = 8
-# Counters of one row, and shingles that a task gathers before it counts.
+# Counters of one row, and words that are hashed at a time.
 PART = 4096
-GATHERED = 1_000_000
+GATHERED = 200_000
 # Classes and shingles of a block.
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 1_000_000
@@ -57,22 +60,44 @@ LISTED = 4_000_000
 COLUMNS = 4096
 
 
+def shingles_of_texts(texts: Sequence[str | None], words: int) -> Iterator[list[np.ndarray]]:
+    """What ``shingle_hashes`` finds, with repeats and unsorted, for some texts at a time."""
+    waiting: list[list[bytes]] = []
+    n = 0
+    for text in texts:
+        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        waiting.append(found)
+        n += len(found)
+        if n >= GATHERED:
+            yield _hashed_together(waiting, words)
+            waiting, n = [], 0
+    if waiting:
+        yield _hashed_together(waiting, words)
+
+
+def _hashed_together(texts: list[list[bytes]], words: int) -> list[np.ndarray]:
+    hashes = word_hashes([w for found in texts for w in found])
+    ends = np.cumsum([len(found) for found in texts])
+    whole = mixed_runs(hashes, words) if len(hashes) >= words else hashes[:0]
+    out = []
+    for end, found in zip(ends, texts):
+        begin = end - len(found)
+        if 0 < len(found) < words:
+            out.append(mixed_runs(hashes[begin:end], len(found)))
+        else:
+            out.append(whole[begin : max(begin, end - words + 1)])
+    return out
+
+
 def shingle_frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """How many documents hold the shingles of each counter, with repeats over shingles."""
+    """How often the shingles of each counter occur in all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        waiting, n = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                found = shingle_hashes(text, words)
-                waiting.append((found & np.uint64(COUNTERS - 1)).astype(np.int32))
-                n += len(found)
-                if n >= GATHERED:
-                    total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
-                    waiting, n = [], 0
-        if n:
-            total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+            for found in shingles_of_texts(batch["text"], words):
+                at = (np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64)
+                total += np.bincount(at, minlength=COUNTERS)
         for part, counts in enumerate(total.reshape(-1, PART)):
             if counts.any():
                 yield pd.DataFrame({"part": [part], "counts": [counts.tobytes()]})
@@ -104,7 +129,7 @@ class GlobalOrder:
         shares = sums[-1] * np.arange(1, fragments) / fragments
         # the last rank of each fragment but the last
         self.cuts = np.searchsorted(sums, shares).astype(np.uint32)
-        # ranks up to here are of counters that a single document holds a shingle of
+        # ranks up to here are of counters with a single occurrence
         self.alone = int(np.searchsorted(frequencies[order], 1, "right"))
 
     def sorted(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +138,10 @@ class GlobalOrder:
         order = np.lexsort((shingles, ranks))
         return shingles[order], ranks[order]
 
+    def place(self, shingle: np.uint64, rank: np.uint32) -> int:
+        """A number that no later shingle falls below."""
+        return (int(rank) << 43) | (int(shingle) >> 21)
+
     def ends(self, ranks: np.ndarray) -> np.ndarray:
         """Where each fragment of an ordered set ends."""
         return np.append(np.searchsorted(ranks, self.cuts, "right"), len(ranks)).astype("<i4")
@@ -124,28 +153,51 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def sketched(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n_shingles``, ``set_key`` (hash of the set), ``rare`` (prefix)."""
+    """``doc_id``, ``text_hash``, ``n_shingles``, ``set_key`` (hash of the set) and its prefix.
+
+    ``rare`` are the shingles of the prefix but those that occur once, ``last`` the place
+    where the prefix ends in the global order.
+    """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sizes, keys, rare = [], [], []
-            for text in batch["text"]:
-                found, ranks = order.value.sorted(shingle_hashes(text, words))
-                sizes.append(len(found))
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                first = slice(0, prefix_length(len(found), percent))
-                rare.append(found[first][ranks[first] >= order.value.alone].view(np.int64))
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": sizes, "set_key": keys, "rare": rare}
-            )
-
-    schema = "doc_id string, text_hash long, n_shingles long, set_key binary, rare array<long>"
+            at = 0
+            for texts in shingles_of_texts(batch["text"], words):
+                rows = []
+                for found in texts:
+                    if not len(found):
+                        rows.append((0, None, None, None))
+                        continue
+                    found, ranks = order.value.sorted(np.unique(found))
+                    n = prefix_length(len(found), percent)
+                    key = xxhash.xxh3_128_digest(found.tobytes())
+                    rare = found[:n][ranks[:n] >= order.value.alone].tobytes()
+                    rows.append((len(found), key, rare, order.value.place(found[n - 1], ranks[n - 1])))
+                frame = pd.DataFrame(rows, columns=["n_shingles", "set_key", "rare", "last"])
+                frame["last"] = frame["last"].astype("Int64")
+                own = batch.iloc[at : at + len(rows)]
+                at += len(rows)
+                yield frame.assign(doc_id=own["doc_id"].to_numpy(), text_hash=own["text_hash"].to_numpy())
+
+    schema = "doc_id string, text_hash long, n_shingles long, set_key binary, rare binary, last long"
     rows = only(docs, "doc_id", "text").select(
         F.col("doc_id").cast("string"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")
     )
     return rows.mapInPandas(sketch, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def buckets_of(classes: DataFrame) -> DataFrame:
+    """``node`` and ``bucket`` for each shingle of the prefix."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = [len(r) // 8 for r in batch["rare"]]
+            rare = np.frombuffer(b"".join(batch["rare"]), dtype=np.int64)
+            yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), n), "bucket": rare})
+
+    return classes.select("node", "rare").mapInPandas(unpack, "node long, bucket long")
+
+
 def ordered_sets(docs: DataFrame, classes: DataFrame, words: int, order) -> DataFrame:
     """``node``, ``shingles`` in global order and ``ends`` of the fragments, of each class."""
 
@@ -163,7 +215,9 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, words: int, order) -> Data
     wanted = classes.select("node", F.col("set_key").alias("of"), "row.doc_id", "row.text_hash")
     source = only(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.text_hash") == F.col("w.text_hash"))
-    found = source.alias("s").join(wanted.alias("w"), same).select("node", "of", "text")
+    # a small side spares sending all texts
+    few = F.broadcast(wanted) if is_small(wanted) else wanted
+    found = source.alias("s").join(few.alias("w"), same).select("node", "of", "text")
     found = found.mapInPandas(whole_sets, "node long, shingles binary, ends binary")
     # rows that repeat id and text bring the same set
     return written(found, "sets").dropDuplicates(["node"])
@@ -172,11 +226,17 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, words: int, order) -> Data
 class Sets:
     """Some ordered sets, read fragment by fragment."""
 
-    def __init__(self, shingles: Sequence[bytes], ends: Sequence[bytes]) -> None:
-        self.all = [np.frombuffer(s, dtype=np.uint64) for s in shingles]
-        self.ends = np.stack([np.frombuffer(e, dtype="<i4") for e in ends]).astype(np.int64)
+    def __init__(self, rows: Mapping[str, np.ndarray]) -> None:
+        self.all = [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]]
+        self.ends = np.stack([np.frombuffer(e, dtype="<i4") for e in rows["ends"]]).astype(np.int64)
         self.sizes = self.ends[:, -1]
 
+    def of(self, places: np.ndarray) -> Sets:
+        some = copy(self)
+        some.all = [self.all[i] for i in places]
+        some.ends, some.sizes = self.ends[places], self.sizes[places]
+        return some
+
     def fragment(self, f: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingles of fragment ``f`` of the chosen sets, and whose (place among the chosen)."""
         begin = self.ends[chosen, f - 1] if f else np.zeros(len(chosen), dtype=np.int64)
@@ -185,6 +245,23 @@ class Sets:
         return np.concatenate(parts), np.repeat(np.arange(len(chosen)), end - begin)
 
 
+class Prefixes:
+    """The rarest shingles of some sets: one fragment, which each set ends at a place of its own."""
+
+    def __init__(self, rows: Mapping[str, np.ndarray]) -> None:
+        self.all = [np.frombuffer(s, dtype=np.uint64) for s in rows["rare"]]
+        self.sizes, self.last = rows["n_shingles"].astype(np.int64), rows["last"].astype(np.int64)
+
+    def of(self, places: np.ndarray) -> Prefixes:
+        some = copy(self)
+        some.all = [self.all[i] for i in places]
+        some.sizes, some.last = self.sizes[places], self.last[places]
+        return some
+
+    def fragment(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(self.all), np.repeat(np.arange(len(self.all)), [len(s) for s in self.all])
+
+
 def _partial_overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape) -> np.ndarray:
     """How many shingles of one fragment each pair shares."""
     columns, at_a = np.unique(a[0], return_inverse=True)
@@ -237,41 +314,48 @@ def similar_pairs(a: Sets, b: Sets, percent: int) -> tuple[np.ndarray, np.ndarra
     return in_a[i], in_b[j]
 
 
-def _held_against_hub(percent: int):
+def possible_pairs(a: Prefixes, b: Prefixes, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that may be similar as far as the first fragment tells.
+
+    Where the prefix of one set ends first, all that it shares with the other up to there is
+    in both prefixes, and what follows is at most the rest of the set.
+    """
+    overlap = _partial_overlaps(a.fragment(), b.fragment(), (len(a.sizes), len(b.sizes))).astype(np.int64)
+    rest_a = (a.sizes - prefix_length(a.sizes, percent))[:, None]
+    rest_b = (b.sizes - prefix_length(b.sizes, percent))[None, :]
+    first = np.sign(a.last[:, None] - b.last[None, :])
+    rest = np.where(first < 0, rest_a, np.where(first > 0, rest_b, np.maximum(rest_a, rest_b)))
+    most = np.minimum(overlap + rest, np.minimum(a.sizes[:, None], b.sizes[None, :]))
+    return np.nonzero((100 + percent) * most >= percent * (a.sizes[:, None] + b.sizes[None, :]))
+
+
+def _held_against_hub(kind, pairs, percent: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups_of(batches, ("hub", "block")):
             node, hub = group["node"], group["hub"][0]
-            sets = Sets(group["shingles"], group["ends"])
-            centre = np.nonzero(node == hub)[0][:1]
-            others = np.nonzero(node != hub)[0]
+            centre, others = np.nonzero(node == hub)[0][:1], np.nonzero(node != hub)[0]
             if not len(others):
                 continue
-            alone, rest = _chosen(sets, centre), _chosen(sets, others)
-            linked = np.zeros(len(others), dtype=bool)
-            linked[similar_pairs(alone, rest, percent)[1]] = True
-            yield pd.DataFrame({"hub": np.full(len(others), hub), "node": node[others], "linked": linked})
+            sets = kind(group)
+            meets = np.zeros(len(others), dtype=bool)
+            meets[pairs(sets.of(centre), sets.of(others), percent)[1]] = True
+            yield pd.DataFrame({"hub": np.full(len(others), hub), "node": node[others], "meets": meets})
 
     return compare
 
 
-def _chosen(sets: Sets, places: np.ndarray) -> Sets:
-    some = Sets.__new__(Sets)
-    some.all = [sets.all[i] for i in places]
-    some.ends, some.sizes = sets.ends[places], sets.sizes[places]
-    return some
-
-
-def _held_against_others(percent: int):
+def _held_against_others(kind, pairs, percent: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in groups_of(batches, ("hub", "asking", "asked")):
-            sets, node = Sets(cell["shingles"], cell["ends"]), cell["node"]
-            asks = cell["asks"].astype(bool)
+            node, asks = cell["node"], cell["asks"].astype(bool)
             mine, theirs = np.nonzero(asks)[0], np.nonzero(~asks)[0]
             if not len(mine) or not len(theirs):
                 continue
-            i, j = similar_pairs(_chosen(sets, mine), _chosen(sets, theirs), percent)
-            links = _star(node[mine[i]], node[theirs[j]])
-            yield pd.DataFrame({"a": links[0], "b": links[1]})
+            sets = kind(cell)
+            i, j = pairs(sets.of(mine), sets.of(theirs), percent)
+            different = node[mine[i]] != node[theirs[j]]
+            a, b = _star(node[mine[i[different]]], node[theirs[j[different]]])
+            yield pd.DataFrame({"hub": np.full(len(a), cell["hub"][0]), "a": a, "b": b})
 
     return compare
 
@@ -309,20 +393,23 @@ def _every(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def links_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``: links that connect what is similar within the clusters ``members``."""
+def pairs_in_clusters(members: DataFrame, sets: DataFrame, kind, pairs, percent: int) -> DataFrame:
+    """``hub``, ``a``, ``b``: pairs that connect what ``pairs`` finds within clusters.
+
+    ``members``: hub, node, n_shingles; ``sets``: node and what ``kind`` reads. All members
+    meet the hub. Who is in no pair with it meets all other members.
+    """
     counts = written(_blocks(members, "_blocks"), "blocks")
     placed = join_group_facts(members, counts, ["hub"], "_size").where("node <> hub")
     rows = placed.select("hub", _block("_blocks").alias("block"), "node").unionByName(
         counts.select("hub", _every("_blocks").alias("block"), F.col("hub").alias("node"))
     )
     rows = rows.join(sets, "node").repartition("hub", "block").sortWithinPartitions("hub", "block")
-    held = rows.mapInPandas(_held_against_hub(percent), "hub long, node long, linked boolean")
+    held = rows.mapInPandas(_held_against_hub(kind, pairs, percent), "hub long, node long, meets boolean")
     held = written(held, "held")
-    found = held.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    found = held.where("meets").select("hub", F.col("hub").alias("a"), F.col("node").alias("b"))
 
-    # who is not linked to the hub meets all other members
-    asking = held.where("NOT linked").join(members, ["hub", "node"]).select("hub", "node", "n_shingles")
+    asking = held.where("NOT meets").join(members, ["hub", "node"]).select("hub", "node", "n_shingles")
     asked = _blocks(asking, "_asking").join(counts.select("hub", F.col("_blocks").alias("_asked")), "hub")
     asked = written(asked, "asked")
     mine = join_group_facts(asking, asked, ["hub"], "_size", "inner").select(
@@ -334,7 +421,7 @@ def links_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     cell = ["hub", "asking", "asked"]
     cells = mine.unionByName(theirs).join(sets, "node").repartition(*cell).sortWithinPartitions(*cell)
-    more = cells.mapInPandas(_held_against_others(percent), "a long, b long")
+    more = cells.mapInPandas(_held_against_others(kind, pairs, percent), "hub long, a long, b long")
     return found.unionByName(more)
 
 
@@ -355,15 +442,24 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             F.count(F.lit(1)).alias("copies"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("rare").alias("rare"),
+            F.first("last").alias("last"),
         )
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = written(classes, "classes")
-    clusters = written(hub_clusters(classes.select("node", F.explode("rare").alias("bucket"))), "clusters")
-    members = written(clusters.join(classes.select("node", "n_shingles"), "node"), "members")
-    wanted = members.select("node").distinct().join(classes, "node")
+    sizes = classes.select("node", "n_shingles")
+    clusters = written(hub_clusters(buckets_of(classes)), "clusters")
+    members = written(clusters.join(sizes, "node"), "members")
+    prefixes = classes.select("node", "n_shingles", "rare", "last")
+    possible = pairs_in_clusters(members, prefixes, Prefixes, possible_pairs, percent)
+    # a hub without a possible partner stays the centre of those that have one
+    possible = written(possible, "possible")
+    left = possible.select("hub", F.explode(F.array("hub", "a", "b")).alias("node")).distinct()
+    left = written(left.join(sizes, "node"), "left")
+    wanted = left.select("node").distinct().join(classes, "node")
     sets = ordered_sets(docs, wanted, words, order)
-    roots = components(links_of(members, sets, percent))
+    links = pairs_in_clusters(left, sets, Sets, similar_pairs, percent).select("a", "b")
+    roots = components(links)
     named = classes.join(roots, "node", "left").select(
         "set_key", "copies", "row.doc_id", F.coalesce("root", "node").alias("root")
     )
