@@ -13,14 +13,18 @@ from recordlink.llm.common import written
 from recordlink.operators.ordering import join_group_facts
 
 
-def hub_clusters(buckets: DataFrame) -> DataFrame:
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """``node`` and ``bucket`` of the buckets that hold several nodes, and their ``size``."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return written(join_group_facts(buckets, sizes, ["bucket"], "size", "inner"), "buckets")
+
+
+def hub_clusters(shared: DataFrame) -> DataFrame:
     """``hub`` and ``node``: a hub with every node that shares a bucket it is hub of.
 
-    ``buckets`` has ``node`` and ``bucket``. The hub of a bucket is the node that meets most
-    others; it is a member of its own cluster. Any two nodes of a bucket share a cluster.
+    ``shared`` is what ``shared_buckets`` returns. The hub of a bucket is the node that meets
+    most others; it is a member of its own cluster. Any two nodes of a bucket share a cluster.
     """
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(join_group_facts(buckets, sizes, ["bucket"], "size", "inner"), "buckets")
     meets = shared.groupBy("node").agg(F.sum("size").alias("meets"))
     ranked = shared.join(meets, "node")
     hubs = ranked.groupBy("bucket").agg(

@@ -40,18 +40,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlink.llm.clusters import groups_of, hub_clusters
+from recordlink.llm.clusters import groups_of, hub_clusters, shared_buckets
 from recordlink.llm.common import LOWER, UPPER, only, table, written
 from recordlink.llm.components import components
-from recordlink.llm.minhash import mixed_runs, shingle_hashes, word_hashes
+from recordlink.llm.shingles import shingle_set, shingles_of_texts
 from recordlink.operators.ordering import join_group_facts
 from recordlink.session import is_small
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 21
 FRAGMENTS = 8
-# Counters of one row, and words that are hashed at a time.
+# Counters of one row, and shingles that a task gathers before it counts.
 PART = 4096
-GATHERED = 200_000
+GATHERED = 1_000_000
 # Classes and shingles of a block.
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 1_000_000
@@ -60,44 +60,21 @@ LISTED = 4_000_000
 COLUMNS = 4096
 
 
-def shingles_of_texts(texts: Sequence[str | None], words: int) -> Iterator[list[np.ndarray]]:
-    """What ``shingle_hashes`` finds, with repeats and unsorted, for some texts at a time."""
-    waiting: list[list[bytes]] = []
-    n = 0
-    for text in texts:
-        found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        waiting.append(found)
-        n += len(found)
-        if n >= GATHERED:
-            yield _hashed_together(waiting, words)
-            waiting, n = [], 0
-    if waiting:
-        yield _hashed_together(waiting, words)
-
-
-def _hashed_together(texts: list[list[bytes]], words: int) -> list[np.ndarray]:
-    hashes = word_hashes([w for found in texts for w in found])
-    ends = np.cumsum([len(found) for found in texts])
-    whole = mixed_runs(hashes, words) if len(hashes) >= words else hashes[:0]
-    out = []
-    for end, found in zip(ends, texts):
-        begin = end - len(found)
-        if 0 < len(found) < words:
-            out.append(mixed_runs(hashes[begin:end], len(found)))
-        else:
-            out.append(whole[begin : max(begin, end - words + 1)])
-    return out
-
-
 def shingle_frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How often the shingles of each counter occur in all documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, dtype=np.int64)
+        waiting, n = [], 0
         for batch in batches:
             for found in shingles_of_texts(batch["text"], words):
-                at = (np.concatenate(found) & np.uint64(COUNTERS - 1)).astype(np.int64)
-                total += np.bincount(at, minlength=COUNTERS)
+                waiting.append((found & np.uint64(COUNTERS - 1)).astype(np.int32))
+                n += len(found)
+                if n >= GATHERED:
+                    total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                    waiting, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         for part, counts in enumerate(total.reshape(-1, PART)):
             if counts.any():
                 yield pd.DataFrame({"part": [part], "counts": [counts.tobytes()]})
@@ -140,7 +117,7 @@ class GlobalOrder:
 
     def place(self, shingle: np.uint64, rank: np.uint32) -> int:
         """A number that no later shingle falls below."""
-        return (int(rank) << 43) | (int(shingle) >> 21)
+        return (int(rank) << 42) | (int(shingle) >> 22)
 
     def ends(self, ranks: np.ndarray) -> np.ndarray:
         """Where each fragment of an ordered set ends."""
@@ -161,23 +138,19 @@ def sketched(docs: DataFrame, words: int, percent: int, order) -> DataFrame:
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at = 0
-            for texts in shingles_of_texts(batch["text"], words):
-                rows = []
-                for found in texts:
-                    if not len(found):
-                        rows.append((0, None, None, None))
-                        continue
-                    found, ranks = order.value.sorted(np.unique(found))
-                    n = prefix_length(len(found), percent)
-                    key = xxhash.xxh3_128_digest(found.tobytes())
-                    rare = found[:n][ranks[:n] >= order.value.alone].tobytes()
-                    rows.append((len(found), key, rare, order.value.place(found[n - 1], ranks[n - 1])))
-                frame = pd.DataFrame(rows, columns=["n_shingles", "set_key", "rare", "last"])
-                frame["last"] = frame["last"].astype("Int64")
-                own = batch.iloc[at : at + len(rows)]
-                at += len(rows)
-                yield frame.assign(doc_id=own["doc_id"].to_numpy(), text_hash=own["text_hash"].to_numpy())
+            rows = []
+            for found in shingles_of_texts(batch["text"], words):
+                if not len(found):
+                    rows.append((0, None, None, None))
+                    continue
+                found, ranks = order.value.sorted(np.unique(found))
+                n = prefix_length(len(found), percent)
+                key = xxhash.xxh3_128_digest(found.tobytes())
+                rare = found[:n][ranks[:n] >= order.value.alone].tobytes()
+                rows.append((len(found), key, rare, order.value.place(found[n - 1], ranks[n - 1])))
+            frame = pd.DataFrame(rows, columns=["n_shingles", "set_key", "rare", "last"])
+            frame["last"] = frame["last"].astype("Int64")
+            yield frame.assign(doc_id=batch["doc_id"], text_hash=batch["text_hash"])
 
     schema = "doc_id string, text_hash long, n_shingles long, set_key binary, rare binary, last long"
     rows = only(docs, "doc_id", "text").select(
@@ -205,7 +178,7 @@ def ordered_sets(docs: DataFrame, classes: DataFrame, words: int, order) -> Data
         for batch in batches:
             rows = []
             for node, key, text in zip(batch["node"], batch["of"], batch["text"]):
-                found, ranks = order.value.sorted(shingle_hashes(text, words))
+                found, ranks = order.value.sorted(shingle_set(text, words))
                 # another row with the id and the hash of the text
                 if xxhash.xxh3_128_digest(found.tobytes()) == key:
                     rows.append((node, found.tobytes(), order.value.ends(ranks).tobytes()))
@@ -249,7 +222,7 @@ class Prefixes:
     """The rarest shingles of some sets: one fragment, which each set ends at a place of its own."""
 
     def __init__(self, rows: Mapping[str, np.ndarray]) -> None:
-        self.all = [np.frombuffer(s, dtype=np.uint64) for s in rows["rare"]]
+        self.all = list(rows["shared"])
         self.sizes, self.last = rows["n_shingles"].astype(np.int64), rows["last"].astype(np.int64)
 
     def of(self, places: np.ndarray) -> Prefixes:
@@ -448,9 +421,12 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     )
     classes = written(classes, "classes")
     sizes = classes.select("node", "n_shingles")
-    clusters = written(hub_clusters(buckets_of(classes)), "clusters")
+    shared = shared_buckets(buckets_of(classes))
+    clusters = written(hub_clusters(shared), "clusters")
     members = written(clusters.join(sizes, "node"), "members")
-    prefixes = classes.select("node", "n_shingles", "rare", "last")
+    # what only one class has in its prefix is in no overlap of prefixes
+    own = shared.groupBy("node").agg(F.collect_list("bucket").alias("shared"))
+    prefixes = written(own.join(classes.select("node", "n_shingles", "last"), "node"), "prefixes")
     possible = pairs_in_clusters(members, prefixes, Prefixes, possible_pairs, percent)
     # a hub without a possible partner stays the centre of those that have one
     possible = written(possible, "possible")
