@@ -906,6 +906,17 @@ def block_pair_distances(spark, sf):
     return _whole(_rounded(found).drop("n_known"), "n_pairs")
 
 
+@query(
+    f"""{MATCHES.replace("a.cluster_id = b.cluster_id AND ", "")}
+    SELECT left_id, right_id, {", ".join(f"d_{c}" for c in WEIGHTS)} FROM found"""
+)
+def whole_table_pairs(spark, sf):
+    """The whole table as one block: columns that nearly agree and cells of points stand in for it."""
+    df = people(spark, sf).withColumn(BLOCK, F.lit(0))
+    found = matching.accepted_pairs(checkpoint(matching.profiles(df, PEOPLE, BLOCK)), PEOPLE, RULE, BLOCK)
+    return _rounded(found).drop("n_known", "n_pairs", BLOCK)
+
+
 @query(
     f"""WITH {sql.PEOPLE}, sizes AS (SELECT count(*) AS n FROM people GROUP BY cluster_id)
     SELECT sum(n * (n - 1) // 2)::BIGINT AS block_pairs,
