@@ -50,7 +50,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    if found and not "".join(found).isalpha():
+        # signs such as one half count as word characters, but are no letters
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+    return found
 
 
 def ngrams_of(word: str, order: int) -> list[str]:
@@ -208,6 +212,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Pipeline stage: documents whose language cannot be told are left out."""
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     sure = (F.col("_lang.lang_pred") != UNKNOWN) & (F.col("_lang.score") >= MIN_SCORE)
-    kept = identify(docs.withColumn("_text", F.col("text")).select("_text", F.struct("*").alias("_doc")), model, "_text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = identify(docs.select(F.col("text").alias("_text"), whole.alias("_doc")), model, "_text")
     kept = kept.withColumn("_lang", F.struct("lang_pred", "score"))
-    return kept.where(sure).select(*[F.col(f"_doc.{c}") for c in docs.columns])
+    return kept.where(sure).select(*[F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -20,10 +20,10 @@ or is given up (``MISS``). Work in cells grows with the square of the number of
 *different* texts that share a bucket, rows sent with the square over the block size.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; a
-null or empty text has an empty set and is linked with nothing; a text that only null ids
-have is linked with no other text and has a null component, and a copy with a null id gets
-the component of its text; rows that repeat an id are documents of their own; extra
-columns are left out.
+null or empty text has an empty set and is linked with nothing; rows with a null id are
+linked like others, so they are bridges and get the component of their group, but they
+never name one (the component is null if no row of the group has an id, and all its rows
+are kept); rows that repeat an id are documents of their own; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from recordlink.llm.common import only, table, written
 from recordlink.llm.components import components
+from recordlink.llm.shingles import shingles_of_texts
 from recordlink.operators.ordering import join_group_facts
 
 BANDS, ROWS = 24, 6
@@ -49,11 +50,8 @@ MISS = 1e-6
 # Classes of a block when signatures are compared, and shingles of one for full sets.
 BLOCK_CLASSES = 512
 BLOCK_SHINGLES = 1_000_000
-# Distinct words that a worker remembers.
-REMEMBERED = 500_000
 
 _SKETCH = ["n_shingles", "set_key", "bands", "signature"]
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -65,50 +63,6 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 _A, _B = _permutations()
 
 
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_WORDS = _Words()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def mixed_runs(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words."""
-    n = len(hashes) - width + 1
-    # the number of words is part of the hash, so a short text equals no shingle of a long one
-    total = np.full(n, np.uint64(width), dtype=np.uint64)
-    for i in range(width):
-        total = _mixed(total * _MIX[0] + hashes[i : i + n] * _MIX[1] + _MIX[2])
-    return total
-
-
-def shingle_hashes(text: str | None, words: int = 3) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``words`` words.
-
-    A-Z are lower-cased; words are runs of anything but ASCII white space.
-    """
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(mixed_runs(word_hashes(found), min(words, len(found))))
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least of each of ``HASHES`` hash functions over the set, as 32 bits."""
     least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -124,8 +78,9 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"]):
-                shingles = shingle_hashes(text, words)
+            found = shingles_of_texts(batch["text"], words)
+            for doc_id, text_hash, shingles in zip(batch["doc_id"], batch["text_hash"], found):
+                shingles = np.unique(shingles)
                 if not len(shingles):
                     rows.append((doc_id, text_hash, 0, None, None, None))
                     continue
@@ -367,6 +322,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("least_id"),
+            # one row that has the set; its id may be missing
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("row"),
             F.count(F.lit(1)).alias("copies"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("bands").alias("bands"),
@@ -375,9 +332,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = written(classes, "classes")
-    # a text without any id is linked with no other, so it is neither hub nor member
-    named_classes = classes.where("least_id IS NOT NULL")
-    clusters = written(_clusters(named_classes).withColumn("_one", F.lit(1)), "clusters")
+    clusters = written(_clusters(classes).withColumn("_one", F.lit(1)), "clusters")
     cells = _in_cells(clusters, "_one", BLOCK_CLASSES, classes.select("node", "signature"))
     survivors = written(
         cells.mapInPandas(_survivors(threshold), "hub long, node long").distinct(), "survivors"
@@ -387,17 +342,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = written(members.join(classes.select("node", "n_shingles"), "node"), "members")
 
     # the full sets of the survivors, from one text of each class
-    @F.pandas_udf("set_key binary, shingles binary")
-    def full_set(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_hashes(t, words).tobytes() for t in texts]
-        keys = [xxhash.xxh3_128_digest(s) for s in found]
-        return pd.DataFrame({"set_key": keys, "shingles": found})
+    def full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            found = shingles_of_texts(batch["text"], words)
+            for node, key, shingles in zip(batch["node"], batch["of"], found):
+                whole = np.unique(shingles).tobytes()
+                # an id that is repeated may bring another text of the same hash
+                if xxhash.xxh3_128_digest(whole) == key:
+                    rows.append((node, whole))
+            yield pd.DataFrame(rows, columns=["node", "shingles"])
 
     wanted = members.select("node").distinct().join(classes, "node")
-    wanted = wanted.select(F.col("least_id").alias("doc_id"), "node", F.col("set_key").alias("of"))
-    # an id that is repeated with other texts brings those too: only the class's own stays
-    full = source.join(wanted, "doc_id").withColumn("_set", full_set("text"))
-    full = full.where(F.col("_set.set_key") == F.col("of")).select("node", "_set.shingles")
+    wanted = wanted.select("row.doc_id", "row.text_hash", "node", F.col("set_key").alias("of"))
+    same = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s.text_hash") == F.col("w.text_hash"))
+    full = source.withColumn("text_hash", F.xxhash64("text")).alias("s").join(wanted.alias("w"), same)
+    full = full.select("node", "of", "text").mapInPandas(full_sets, "node long, shingles binary")
     full = written(full, "sets").dropDuplicates(["node"])
     cells = _in_cells(members, "n_shingles", BLOCK_SHINGLES, full)
     links = cells.mapInPandas(_confirmed(percent), "a long, b long")

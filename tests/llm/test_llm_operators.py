@@ -147,6 +147,11 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows)
 
 
+def test_signs_are_no_letters():
+    assert language.words_of("½ ² ① Ⅷ 12 _") == []
+    assert language.words_of("x²y É½a") == ["x", "y", "é", "a"]
+
+
 def test_language_backs_off_and_odd_texts(spark):
     rows = [(1, "the house the mouse", "en"), (2, "das haus die maus", "de"), (3, "x", None), (4, None, "en")]
     model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
@@ -297,10 +302,23 @@ def test_near_copies_of_a_text_without_id(spark):
     rows = [(None, " ".join(centre)), *enumerate(copies)]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found}
-    assert got.pop(None)[1] is None and [got[i] for i in range(len(copies))] == brute_components(copies, 3, 85)
+    # it links what is only similar through it
+    assert got.pop(None)[1] == 0 and [got[i][1] for i in range(len(copies))] == [0] * len(copies)
+    assert not [r for r in found if r["doc_id"] is None and r["kept"]]
     assert [r["doc_id"] for r in found if r["kept"] and r["doc_id"] is not None] == [0]
 
 
+def test_near_copies_with_a_bridge_without_id(spark):
+    words = rng_words(33, 100, 10**6)
+    rows = [(1, " ".join(["x", "y", *words[2:]])), (None, " ".join(words)), (3, " ".join([*words[:-2], "p", "q"]))]
+    for between in (rows[1], (2, rows[1][1])):
+        df = spark.createDataFrame([rows[0], between, rows[2]], "doc_id long, text string")
+        found = minhash.near_duplicates(df, words=1, percent=95).collect()
+        assert sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in found) == sorted(
+            [(1, 1, True), (between[0] or 0, 1, False), (3, 1, False)]
+        )
+
+
 def test_bayes_bounds_keep_similar_pairs():
     least = minhash.least_equal(0.85)
     assert list(least) == sorted(least) and all(m < n * 0.85 for m, n in zip(least, range(16, 145, 16)))

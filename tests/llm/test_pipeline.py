@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordlink.llm import line_dedup, minhash
+from recordlink.llm import language, line_dedup, minhash
 from recordlink.llm.common import written
 
 
@@ -109,8 +109,8 @@ def test_run_on_odd_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
-    # a text that only a null id has is linked with no other text, so it stays
-    assert got == [(False, 1), (False, 5), (True, 0)]
+    # the text with a null id is a near copy of document 1
+    assert got == [(False, 1), (False, 5)]
 
 
 def test_run_on_empty_tables(spark, tmp_path):
@@ -125,3 +125,14 @@ def test_near_dedup_stage_keeps_one_row(spark):
     docs = spark.createDataFrame([(3, text), (3, text), (4, text), (9, "own words")], "doc_id long, text string")
     kept = minhash.drop_near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == [3, 9]
+
+
+def test_language_stage_leaves_columns_alone(spark):
+    text = "the house and the mouse are in the garden of the old man "
+    docs = spark.createDataFrame([(i, text * 3, "en") for i in range(8)], "doc_id long, text string, lang string")
+    names = ["_text", "_doc", "_lang", "score", "lang_pred", "a.b"]
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in names})
+    kept = language.keep_identified(spark, docs, "").collect()
+    assert len(kept) == 8 and [kept[0][c] for c in names] == [f"own {c}" for c in names]
+    near = minhash.drop_near_duplicates(spark, docs, "").collect()
+    assert len(near) == 1 and [near[0][c] for c in names] == [f"own {c}" for c in names]
