@@ -19,8 +19,8 @@ dozens of times the input; only positions that can start or hold a repeat are ra
 
 Ranks are 64-bit hashes; positions are sorted by them. Spark sorts and counts; nothing but
 hashes, places and, for step 4, the bytes around a position is shuffled, apart from the
-texts, which are shuffled compressed, twice. A first rank shared by many positions is
-counted by partial sums and joined by Spark's skew join; a block shared by more than
+texts, which are shuffled compressed, twice. A rank shared by many positions is counted
+by partial sums, and its positions are salted when joined; a block shared by more than
 ``HOT`` positions is not compared in one task, but its windows are counted by partial sums.
 
 Defined cases: a null or empty text has no bytes; matches never cross documents; every row
@@ -41,17 +41,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlink.llm.common import only, table, written
+from recordlink.operators.ordering import HOT_PARTS
 
 LENGTH = 200
 SEED = 64
 REACH = LENGTH - SEED
 BLOCKS = 3
 BLOCK = -(-(REACH + 1) // BLOCKS)
-# A text is read in stretches, so that the arrays stay small however long it is.
-STRETCH = 1 << 20
+# Texts are read in stretches, so that the arrays stay small however long a text is.
+STRETCH = 1 << 17
+# Bytes of text that are scanned one after the other, without an array of their own each.
+TOGETHER = 1 << 20
 # Rows of a block from which it is counted by the cluster instead of within a task.
 HOT = 50_000
 CHUNK = 20_000
+SALTS = 64
 
 _DRAW = np.random.default_rng(64_200)
 _BYTES = _DRAW.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -81,7 +85,10 @@ def _running(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return values
 
 
-def _positions_of_stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _positions_of_stretch(
+    data: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept positions of neighbouring texts that end at ``ends``, and the ranks of all positions."""
     ranks = _BYTES[data]
     offset = 1
     while offset < SEED:
@@ -89,30 +96,62 @@ def _positions_of_stretch(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         offset *= 2
     width = REACH + 1
     least = _running(ranks, width, np.minimum)
+    # no window reaches into the next text
+    for end in ends.tolist():
+        least[max(0, end - LENGTH + 1) : end] = 0
     # a position is kept if it is the least of some window that holds it
     padded = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(REACH, np.uint64)])
     greatest = _running(padded, width, np.maximum)
-    kept = np.nonzero(greatest == ranks)[0]
-    return kept, ranks[kept]
+    return np.nonzero(greatest == ranks)[0], ranks
 
 
-def positions(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Kept positions of a text and their first ranks."""
+def _longer(
+    ranks: np.ndarray, kept: np.ndarray, first: np.ndarray, end: np.ndarray
+) -> np.ndarray:
+    """Rank of all bytes that windows around kept positions can hold, from ranks of ``SEED`` bytes.
+
+    ``first`` and ``end`` bound these bytes. The ranks taken overlap at the end only and cover
+    them; where they lie is part of the rank, so equal ranks stand for equal bytes and places.
+    """
+    x = (kept - first).astype(np.uint64) * _B + (end - kept).astype(np.uint64)
+    last = end - SEED
+    for step in range(-REACH, LENGTH, SEED):
+        at = np.clip(kept + step, first, last)
+        x = (x ^ ranks[at]) * _A
+        x ^= x >> np.uint64(32)
+        x *= _B
+        x ^= x >> np.uint64(29)
+    return x
+
+
+def positions(data: bytes, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kept positions of texts that follow each other, their first and their longer ranks.
+
+    ``ends`` are the ends of the texts in ``data``, one text if not given.
+    """
     n = len(data)
-    if n < LENGTH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    ends = np.array([n]) if ends is None else ends
     margin = 2 * LENGTH
-    places, ranks = [], []
+    places, firsts, longers = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for at in range(0, n, STRETCH):
-        begin, end = max(0, at - margin), min(n, at + STRETCH + margin)
-        if end - begin < LENGTH:
-            begin = end - LENGTH
-        found, rank = _positions_of_stretch(np.frombuffer(data, np.uint8, end - begin, begin))
-        found = found + begin
-        own = (found >= at) & (found < at + STRETCH)
-        places.append(found[own])
-        ranks.append(rank[own])
-    return np.concatenate(places), np.concatenate(ranks)
+        begin, stop = max(0, at - margin), min(n, at + STRETCH + margin)
+        if stop - begin < LENGTH:
+            begin = max(0, stop - LENGTH)
+        if stop - begin < LENGTH:
+            break
+        inside = ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, stop, "right")]
+        kept, ranks = _positions_of_stretch(np.frombuffer(data, np.uint8, stop - begin, begin), inside - begin)
+        place = kept + begin
+        own = (place >= at) & (place < at + STRETCH)
+        kept, place = kept[own], place[own]
+        text = np.searchsorted(ends, place, "right")
+        start_of = np.where(text > 0, ends[text - 1], 0)
+        first = np.maximum(place - REACH, start_of) - begin
+        end = np.minimum(place + LENGTH, ends[text]) - begin
+        places.append(place)
+        firsts.append(ranks[kept])
+        longers.append(_longer(ranks, kept, first, end))
+    return np.concatenate(places), np.concatenate(firsts), np.concatenate(longers)
 
 
 def _text_bytes(text: str | None) -> bytes:
@@ -122,35 +161,38 @@ def _text_bytes(text: str | None) -> bytes:
 def ranked_positions(docs: DataFrame) -> DataFrame:
     """Kept positions with their first (64 bytes) and longer rank (all within reach)."""
 
+    def some(texts: list[bytes], doc_ids: list, hashes: list) -> pd.DataFrame:
+        ends = np.cumsum([len(t) for t in texts])
+        places, ranks, longer = positions(b"".join(texts), ends)
+        text = np.searchsorted(ends, places, "right")
+        before = places - np.where(text > 0, ends[text - 1], 0)
+        return pd.DataFrame(
+            {
+                "rank": ranks.view(np.int64),
+                "longer": longer.view(np.int64),
+                "doc_id": pd.array(doc_ids, dtype="Int64").take(text),
+                "text_hash": np.array(hashes, dtype=np.int32)[text],
+                "pos": before.astype(np.int32),
+                "before": np.minimum(before, REACH).astype(np.int16),
+                "after": np.minimum(ends[text] - places, LENGTH).astype(np.int16),
+            }
+        )
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            waiting: list[tuple] = []
+            held = 0
             for doc_id, text, text_hash in zip(batch["doc_id"], batch["text"], batch["text_hash"]):
                 data = _text_bytes(text)
-                places, ranks = positions(data)
-                n = len(data)
-                longer = [
-                    xxhash.xxh3_64_intdigest(data[max(0, p - REACH) : p + LENGTH], min(p, REACH))
-                    for p in places.tolist()
-                ]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "rank": ranks.view(np.int64),
-                            "longer": np.array(longer, dtype=np.uint64).view(np.int64),
-                            "doc_id": pd.array([doc_id] * len(places), dtype="Int64"),
-                            "text_hash": np.full(len(places), text_hash, dtype=np.int32),
-                            "pos": places.astype(np.int32),
-                            "before": np.minimum(places, REACH).astype(np.int16),
-                            "after": np.minimum(n - places, LENGTH).astype(np.int16),
-                        }
-                    )
-                )
-                if sum(map(len, out)) > CHUNK:
-                    yield pd.concat(out)
-                    out = []
-            if out:
-                yield pd.concat(out)
+                if len(data) < LENGTH:
+                    continue
+                waiting.append((data, None if pd.isna(doc_id) else int(doc_id), text_hash))
+                held += len(data)
+                if held >= TOGETHER:
+                    yield some(*map(list, zip(*waiting)))
+                    waiting, held = [], 0
+            if waiting:
+                yield some(*map(list, zip(*waiting)))
 
     schema = f"rank long, longer long, {_PLACE_TYPE}, before short, after short"
     return docs.mapInPandas(scan, schema)
@@ -331,25 +373,42 @@ def _repeats(blocks: DataFrame) -> DataFrame:
     return in_task if in_hot is None else in_task.unionByName(in_hot)
 
 
+def _join_ranks(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys are in ``facts`` (keys, their number ``n`` of rows, and more), with the rest.
+
+    Rows of a key that holds more than 1 / ``HOT_PARTS`` of all, of which there are fewer than
+    ``HOT_PARTS``, are dealt over ``SALTS`` parts. ``rows`` are read once, ``facts``, a written
+    table, several times.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(total / HOT_PARTS, SALTS)
+    hot = F.broadcast(facts.where(is_hot).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64("pos", "doc_id", "text_hash"), F.lit(SALTS)).cast("int")
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = facts.withColumn("_salt", F.explode(salts)).drop("n")
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt", "_hot")
+
+
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, first, end`` of stretches of repeated strings; they overlap."""
-    ranked = ranked_positions(docs)
     again = (
-        ranked.groupBy("rank")
+        ranked_positions(docs)
+        .groupBy("rank")
         .agg(
             F.count(F.lit(1)).alias("n"),
             (F.min("longer") != F.max("longer")).alias("differs"),
         )
         .where("n > 1")
-        .drop("n")
     )
     # the scan is cheaper to repeat than all its rows are to keep
-    shared = written(ranked_positions(docs).join(again, "rank"), "positions")
+    shared = written(_join_ranks(ranked_positions(docs), written(again, "ranks"), ["rank"]), "positions")
     classes = shared.groupBy("rank", "longer").agg(
         F.count(F.lit(1)).alias("n"), F.first("differs").alias("differs"), F.min(F.struct(*_PLACE)).alias("place")
     )
-    copies = classes.where("n > 1").select("rank", "longer")
-    throughout = shared.join(copies, ["rank", "longer"], "left_semi").select(
+    classes = written(classes, "classes")
+    copies = classes.where("n > 1").select("rank", "longer", "n")
+    throughout = _join_ranks(shared, copies, ["rank", "longer"]).select(
         "doc_id",
         "text_hash",
         (F.col("pos") - F.col("before")).alias("first"),

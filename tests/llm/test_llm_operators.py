@@ -87,6 +87,26 @@ def test_substrings_stretches_do_not_change_positions(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
+def test_substrings_texts_scanned_together_keep_their_positions():
+    texts = [" ".join(rng_words(i, n)).encode() for i, n in enumerate((60, 300, 55, 2000, 70))]
+    ends = np.cumsum([len(t) for t in texts])
+    places, ranks, longer = substring_dedup.positions(b"".join(texts), ends)
+    alone = [substring_dedup.positions(t) for t in texts]
+    starts = ends - [len(t) for t in texts]
+    assert (places == np.concatenate([a[0] + s for a, s in zip(alone, starts)])).all()
+    assert (ranks == np.concatenate([a[1] for a in alone])).all()
+    assert (longer == np.concatenate([a[2] for a in alone])).all()
+
+
+def test_substrings_hot_ranks_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT_PARTS", 1_000_000)
+    monkeypatch.setattr(substring_dedup, "SALTS", 3)
+    copy, passage = " ".join(rng_words(11, 120)), " ".join(rng_words(12, 70))
+    texts = [copy] * 9 + [" ".join(rng_words(300 + i, 30)) + passage for i in range(8)] + [None, passage]
+    want = [(i, *d) for i, d in enumerate(substring_dedup.brute_force(texts))]
+    assert digests(documents(spark, texts)) == want
+
+
 def test_substrings_repeated_rows_and_null_ids(spark):
     text = " ".join(rng_words(9, 100))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
