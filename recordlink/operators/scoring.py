@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from recordlink.config import RecordSpec
 from recordlink.functions.counts import PAIRS, pairs_of, product
-from recordlink.operators.matching import duplicate_members
+from recordlink.operators.matching import duplicate_members, with_profile_facts
 from recordlink.operators.ordering import join_facts
 from recordlink.operators.similarity import comparable
 from recordlink.session import checkpoint
@@ -107,37 +107,31 @@ def _true_positives(
     return crossing.unionByName(copies).agg(F.coalesce(F.sum("tp"), F.lit(0)).cast(PAIRS).alias("tp"))
 
 
-def confusion_scores(
-    records: DataFrame,
-    profile_rows: DataFrame,
-    pairs: DataFrame,
-    spec: RecordSpec,
-    block: str,
-    decimals: int = 5,
-) -> DataFrame:
-    """Confusion matrix and scores over the in-block pairs whose label is known.
+COUNTS = ("pos", "neg", "predicted", "tp")
 
-    One row; a score without a denominator is null. ``specificity`` is the share of
-    non-duplicates that were predicted as such.
-    """
+
+def _confusion_sums(
+    records: DataFrame, profile_rows: DataFrame, pairs: DataFrame, spec: RecordSpec, block: str
+) -> DataFrame:
+    """Parts of the counts of in-block pairs with known label; their sums are the counts."""
+    zero = F.lit(0).cast(PAIRS)
     known = block_pair_labels(records, spec, block).select(
         F.col("duplicate_pairs").alias("pos"),
         F.col("nonduplicate_pairs").alias("neg"),
-        F.lit(0).cast(PAIRS).alias("predicted"),
-        F.lit(0).cast(PAIRS).alias("tp"),
+        zero.alias("predicted"),
+        zero.alias("tp"),
     )
-    zero = F.lit(0).cast(PAIRS)
     predicted = pairs.select(
         zero.alias("pos"), zero.alias("neg"), F.col("n_known").alias("predicted"), zero.alias("tp")
     )
     hits = _true_positives(records, profile_rows, pairs, spec, block).select(
         zero.alias("pos"), zero.alias("neg"), zero.alias("predicted"), F.col("tp")
     )
-    sums = (
-        known.unionByName(predicted)
-        .unionByName(hits)
-        .agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("pos", "neg", "predicted", "tp")])
-    )
+    return known.unionByName(predicted).unionByName(hits)
+
+
+def _scores_of_sums(parts: DataFrame, decimals: int) -> DataFrame:
+    sums = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(PAIRS).alias(c) for c in COUNTS])
     counts = sums.select(
         "tp",
         (F.col("predicted") - F.col("tp")).alias("fp"),
@@ -147,6 +141,87 @@ def confusion_scores(
     return scores_of(counts, decimals)
 
 
+def confusion_scores(
+    records: DataFrame,
+    profile_rows: DataFrame,
+    pairs: DataFrame,
+    spec: RecordSpec,
+    block: str,
+    decimals: int = 5,
+) -> DataFrame:
+    """Confusion matrix and scores over the in-block pairs whose label is known.
+
+    One row; a score without a denominator is null. ``specificity`` is the share of
+    non-duplicates that were predicted as such.
+    """
+    return _scores_of_sums(_confusion_sums(records, profile_rows, pairs, spec, block), decimals)
+
+
+def _trained_sums(
+    records: DataFrame,
+    profile_rows: DataFrame,
+    pairs: DataFrame,
+    trained: DataFrame,
+    spec: RecordSpec,
+    block: str,
+) -> DataFrame:
+    """Counts of the pairs trained on, as one row; those that no score counts are left out."""
+    asked = checkpoint(
+        trained.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+        .where("left_id < right_id")
+        .distinct()
+    )
+    ids = asked.select(F.explode(F.array("left_id", "right_id")).alias(spec.id_col)).distinct()
+    known = records.where(F.col(block).isNotNull() & F.col(spec.match_col).isNotNull())
+    wanted = known.join(ids, spec.id_col, "left_semi")
+    identity = profile_rows.select(block, *[F.col(f"`{c}`") for c in spec.columns], F.col("profile_id").alias("_profile"))
+    members = checkpoint(
+        with_profile_facts(checkpoint(wanted), identity, spec, block).select(
+            F.col(spec.id_col).alias("_id"), F.col(block).alias("_block"), F.col(spec.match_col).alias("_key"), "_profile"
+        )
+    )
+
+    def of_side(side: str) -> DataFrame:
+        return members.select(*[F.col(c).alias(f"{side}{c}") for c in members.columns])
+
+    both = asked.join(of_side("left"), "left_id").join(of_side("right"), "right_id").where("left_block = right_block")
+    # copies may put many pairs of records on one pair of profiles
+    met = both.groupBy(
+        F.least("left_profile", "right_profile").alias("left_id"),
+        F.greatest("left_profile", "right_profile").alias("right_id"),
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("left_key") == F.col("right_key")).alias("pos"),
+    )
+    hit = pairs.select("left_id", "right_id", F.lit(True).alias("hit"))
+    counted = met.join(hit, ["left_id", "right_id"], "left")
+    return counted.agg(
+        F.sum("pos").alias("pos"),
+        F.sum(F.col("n") - F.col("pos")).alias("neg"),
+        F.sum(F.when(F.col("hit"), F.col("n"))).alias("predicted"),
+        F.sum(F.when(F.col("hit"), F.col("pos"))).alias("tp"),
+    ).select(*[F.coalesce(c, F.lit(0)).cast(PAIRS).alias(c) for c in COUNTS])
+
+
+def confusion_scores_held_out(
+    records: DataFrame,
+    profile_rows: DataFrame,
+    pairs: DataFrame,
+    trained: DataFrame,
+    spec: RecordSpec,
+    block: str,
+    decimals: int = 5,
+) -> DataFrame:
+    """``confusion_scores`` without the pairs that the classifier was trained on.
+
+    ``trained`` holds pairs of record ids, in any order and number. Only they are looked up
+    among the predictions; the pairs held out are all the others, by their counts.
+    """
+    every = _confusion_sums(records, profile_rows, pairs, spec, block)
+    seen = _trained_sums(records, profile_rows, pairs, trained, spec, block)
+    return _scores_of_sums(every.unionByName(seen.select(*[(-F.col(c)).alias(c) for c in COUNTS])), decimals)
+
+
 def scores_of(counts: DataFrame, decimals: int = 5) -> DataFrame:
     """Add precision, recall, specificity and accuracy to ``tp, fp, tn, fn``."""
 

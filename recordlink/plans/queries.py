@@ -19,6 +19,7 @@ from recordlink.operators import (
     clustering,
     embedding,
     features,
+    groups,
     matching,
     pairs,
     scoring,
@@ -977,6 +978,47 @@ def confusion_scores(spark, sf):
     return _whole(found, "tp", "fp", "tn", "fn")
 
 
+@query(
+    f"""{MATCHES}, numbered AS (
+      SELECT rec_id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY rec_id) AS no
+      FROM people
+    ), trained AS (
+      SELECT a.rec_id AS left_id, b.rec_id AS right_id FROM numbered a JOIN numbered b
+        ON a.cluster_id = b.cluster_id AND b.no = a.no + 1
+    ), counts AS (
+      SELECT count(*) FILTER (WHERE label = 1 AND accepted) AS tp,
+             count(*) FILTER (WHERE label = 0 AND accepted) AS fp,
+             count(*) FILTER (WHERE label = 0 AND NOT accepted) AS tn,
+             count(*) FILTER (WHERE label = 1 AND NOT accepted) AS fn
+      FROM block ANTI JOIN trained USING (left_id, right_id))
+    SELECT tp, fp, tn, fn, round(tp / (tp + fp), 5) AS "precision", round(tp / (tp + fn), 5) AS recall,
+           round(tn / (tn + fp), 5) AS specificity,
+           round((tp + tn) / (tp + fp + tn + fn), 5) AS accuracy FROM counts"""
+)
+def confusion_scores_held_out(spark, sf):
+    """The scores of all other pairs, where each record and the next of its block were trained on."""
+    df, profile_rows = people(spark, sf), _profiles(spark, sf)
+    found = matching.duplicate_pairs(profile_rows, PEOPLE, RULE, BLOCK)
+    trained = pairs.neighbour_pairs(df, ID, [BLOCK]).select(*pairs.PAIR)
+    found = scoring.confusion_scores_held_out(df, profile_rows, found, trained, PEOPLE, BLOCK)
+    return _whole(found, "tp", "fp", "tn", "fn")
+
+
+@query(
+    f"""{MATCHES.replace("WITH", "WITH RECURSIVE", 1)}, linked AS (
+      SELECT left_id AS a, right_id AS b FROM found UNION ALL SELECT right_id, left_id FROM found
+    ), reach AS (
+      SELECT rec_id AS a, rec_id AS b FROM people
+      UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b)
+    SELECT a AS rec_id, min(b) AS group_id, count(*) AS n_records FROM reach GROUP BY a"""
+)
+def duplicate_groups(spark, sf):
+    df, profile_rows = people(spark, sf), _profiles(spark, sf)
+    found = matching.duplicate_pairs(profile_rows, PEOPLE, RULE, BLOCK)
+    grouped = groups.duplicate_groups(df, profile_rows, found, PEOPLE, BLOCK)
+    return grouped.select(ID, "group_id", "n_records")
+
+
 @query()
 def dedupe_end_to_end(spark, sf):
     run = Deduplication(checkpoint(_complete_people(spark, sf)), PEOPLE)

@@ -20,6 +20,7 @@ from recordlink.operators.embedding import (
     embed,
     tiled_weights,
 )
+from recordlink.operators.groups import duplicate_groups
 from recordlink.operators.pairs import limit_pairs, records_with_gold, strict_pairs, working_set
 from recordlink.operators.training import PARTNERS, Trained, block_distances, gold_distances, train
 from recordlink.session import checkpoint, spread
@@ -209,6 +210,7 @@ class Deduplication:
         self.match_spec = spec = (spec or self.spec).validate(clustered)
         block = self.spec.cluster_col
         self.comparisons = scoring.count_comparisons(clustered, block)
+        self.match_model: Trained | None = None
         if rule is None:
             labelled = block_distances(clustered, spec, block, n, ratio, partners)
             self.match_model = train(labelled, spec, estimator, standardize, training, test_size)
@@ -228,11 +230,25 @@ class Deduplication:
         self.labelled = matching.duplicate_labels(clustered, self.profiles, self.pairs, spec, block)
         return self.labelled
 
-    def scores(self, decimals: int = 5) -> DataFrame:
-        """Precision, recall, specificity and accuracy over all pairs with known label."""
+    def scores(self, decimals: int = 5, held_out: bool = False) -> DataFrame:
+        """Precision, recall, specificity and accuracy over all pairs with known label.
+
+        With ``held_out`` the pairs that ``match`` learnt its rule on are not counted.
+        """
+        pairs = self._step("pairs", "match")
+        common = (self.match_spec, self.spec.cluster_col, decimals)
+        if not held_out:
+            return scoring.confusion_scores(self.clustered, self.profiles, pairs, *common)
+        if self.match_model is None:
+            raise ValueError("the rule was given, so no pairs were trained on")
+        trained = self.match_model.train
+        return scoring.confusion_scores_held_out(self.clustered, self.profiles, pairs, trained, *common)
+
+    def groups(self) -> DataFrame:
+        """Records with the group of duplicates they are in, and how many are in it."""
         pairs = self._step("pairs", "match")
-        return scoring.confusion_scores(
-            self.clustered, self.profiles, pairs, self.match_spec, self.spec.cluster_col, decimals
+        return duplicate_groups(
+            self.clustered, self.profiles, pairs, self.match_spec, self.spec.cluster_col
         )
 
     def save(self, path: str, encoding: str = "parquet", mode: str = "error") -> str:
