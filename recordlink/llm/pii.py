@@ -8,7 +8,8 @@ they are kept from ``MIN_SCORE`` on, unless they overlap a base span.
 Only DataFrame functions run, row by row: nothing is shuffled, so no source or text can
 be hot. Spark finds all matches of an expression but not where they are; splitting the
 text at the same expression gives the gaps between them, and the running sum of gap and
-match lengths gives the places, in code points.
+match lengths gives the places, in code points. Sums are run in stretches of the matches
+(``_running``), so a text with many of them costs no square of their number.
 
 The expressions are written so that a long run of word characters or digits is read once:
 quantifiers are possessive where giving back could not help, and a match may only start
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from recordlink.llm.common import ascii_lower, only, table
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
-_SPANS = "array<struct<start:bigint,stop:bigint,text:string,gap:string>>"
+_NUMBERS = "array<bigint>"
+STRETCH = 256
+FAR = (1 << 63) - 1
 
 MIN_SCORE = 0.6
 CONTEXT_CHARS = 40
@@ -134,35 +137,63 @@ KINDS = (
 )
 
 
-def _located(gaps: Column, matches: Column) -> Column:
-    """Places of the matches; the gap before each match is kept for its context."""
+def _running(
+    rows: DataFrame, columns: dict[str, str], merge: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """Add each column of numbers (by its new name) merged up to each place, inclusive.
 
-    def step(seen: Column, one: Column) -> Column:
-        start = seen["at"] + F.length(one["gap"])
-        stop = start + F.length(one["text"])
-        span = F.struct(
-            start.alias("start"),
-            stop.alias("stop"),
-            one["text"].alias("text"),
-            F.substring(one["gap"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("gap"),
+    Arrays grow by copies, so they are merged within stretches of ``STRETCH`` numbers, then
+    over the stretches' ends. Each step is a column of its own that is read twice: read
+    once, Spark would put it inside the next step's lambda and compute it for every element.
+    """
+
+    def grown(numbers: Column) -> Column:
+        def step(seen: Column, v: Column) -> Column:
+            n = F.size(seen)
+            return F.concat(seen, F.array(F.when(n == 0, v).otherwise(merge(F.get(seen, n - 1), v))))
+
+        return F.aggregate(numbers, F.array().cast(_NUMBERS), step)
+
+    def stretches(numbers: Column) -> Column:
+        n = F.size(numbers)
+        firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+        return F.transform(firsts, lambda i: grown(F.slice(numbers, i, F.lit(STRETCH))))
+
+    def whole(parts: Column) -> Column:
+        n = F.size(parts)
+        ends = grown(F.transform(parts, lambda p: F.element_at(p, -1)))
+        before = F.concat(F.array(F.lit(None).cast("bigint")), F.slice(ends, F.lit(1), F.greatest(n - 1, F.lit(0))))
+        merged = F.zip_with(
+            parts,
+            F.slice(before, F.lit(1), n),
+            lambda p, b: F.when(b.isNull(), p).otherwise(F.transform(p, lambda v: merge(b, v))),
         )
-        return F.struct(stop.alias("at"), F.concat(seen["spans"], F.array(span)).alias("spans"))
+        return F.flatten(merged)
 
-    n = F.size(matches)
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), n),
-        matches,
-        lambda g, m: F.struct(g.alias("gap"), m.alias("text")),
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("spans"))
+    parts = rows.withColumns({name: stretches(F.col(of)) for name, of in columns.items()})
+    return parts.withColumns({name: whole(F.col(name)) for name in columns})
+
+
+def _located(rows: DataFrame) -> DataFrame:
+    """Places of each kind's matches; the end of the gap before each is kept for its context."""
 
-    def typed(seen: Column, one: Column) -> Column:
-        return step(seen, one).cast(f"struct<at:bigint,spans:{_SPANS}>")
+    def part(gap: Column, match: Column) -> Column:
+        return F.struct(
+            F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS).alias("gap"),
+            match.alias("text"),
+            (F.length(gap) + F.length(match)).cast("bigint").alias("until"),
+        )
 
-    return F.aggregate(pairs, start, typed)["spans"]
+    parts, lengths = {}, {}
+    for kind in KINDS:
+        gaps, matches = F.col(f"_g_{kind.name}"), F.col(f"_m_{kind.name}")
+        parts[f"_p_{kind.name}"] = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, part)
+        lengths[f"_l_{kind.name}"] = F.transform(f"_p_{kind.name}", lambda p: p["until"])
+    stops = {f"_e_{k.name}": f"_l_{k.name}" for k in KINDS}
+    return _running(rows.withColumns(parts).withColumns(lengths), stops, lambda a, b: a + b)
 
 
-def _rated_spans(gaps: Column, matches: Column, kind: Kind, number: int) -> Column:
+def _rated_spans(parts: Column, stops: Column, kind: Kind, number: int) -> Column:
     """The spans of one kind that pass its check, with their scores."""
 
     def rated(s: Column) -> Column:
@@ -180,10 +211,42 @@ def _rated_spans(gaps: Column, matches: Column, kind: Kind, number: int) -> Colu
             F.lit(kind.base).alias("base"),
         )
 
-    passed = F.filter(_located(gaps, matches), lambda s: kind.check(s["text"]))
+    def placed(p: Column, stop: Column) -> Column:
+        return F.struct(
+            (stop - F.length(p["text"])).alias("start"), stop.alias("stop"), p["text"].alias("text"), p["gap"].alias("gap")
+        )
+
+    passed = F.filter(F.zip_with(parts, stops, placed), lambda s: kind.check(s["text"]))
     return F.transform(passed, rated)
 
 
+def _without_overlaps(rows: DataFrame) -> DataFrame:
+    """Drop further spans that score too low or overlap a base span; ``spans`` are sorted.
+
+    A span overlaps a base span that starts before it (or with it: base kinds come first) if
+    the farthest of their ends lies beyond its start, and one that starts after it if the
+    next such start lies before its end.
+    """
+    ends = F.transform("spans", lambda s: F.when(s["base"], s["stop"]).otherwise(F.lit(0).cast("bigint")))
+    starts = F.transform(F.reverse("spans"), lambda s: F.when(s["base"], s["start"]).otherwise(F.lit(FAR)))
+    rows = rows.withColumns({"_ends": ends, "_starts": starts})
+    rows = _running(rows, {"_reach": "_ends"}, F.greatest)
+    rows = _running(rows, {"_next": "_starts"}, F.least)
+    rated = F.zip_with("spans", "_reach", lambda s, r: F.struct(s.alias("s"), r.alias("reach")))
+    kept = F.zip_with(
+        rated,
+        F.reverse("_next"),
+        lambda t, n: F.struct(
+            t["s"].alias("s"),
+            (
+                t["s"]["base"]
+                | ((t["s"]["score"] >= MIN_SCORE) & (t["reach"] <= t["s"]["start"]) & (n >= t["s"]["stop"]))
+            ).alias("stays"),
+        ),
+    )
+    return rows.withColumn("spans", F.transform(F.filter(kept, lambda t: t["stays"]), lambda t: t["s"]))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``spans``: kind, start, stop, text and score, ordered by place.
 
@@ -205,20 +268,13 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for k in KINDS
         }
     )
-    spans = {
-        f"_s_{kind.name}": _rated_spans(F.col(f"_g_{kind.name}"), F.col(f"_m_{kind.name}"), kind, number)
+    rows = _located(rows)
+    spans = [
+        _rated_spans(F.col(f"_p_{kind.name}"), F.col(f"_e_{kind.name}"), kind, number)
         for number, kind in enumerate(KINDS)
-    }
-    rows = rows.select(f"`{id_col}`", *[c.alias(n) for n, c in spans.items()])
-    base = F.concat(*[F.col(f"_s_{k.name}") for k in KINDS if k.base])
-    rows = rows.withColumn("_base", base)
-
-    def added(s: Column) -> Column:
-        overlaps = F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-        return (s["score"] >= MIN_SCORE) & ~overlaps
-
-    more = F.filter(F.concat(*[F.col(f"_s_{k.name}") for k in KINDS if not k.base]), added)
-    return rows.select(f"`{id_col}`", F.array_sort(F.concat("_base", more)).alias("spans"))
+    ]
+    rows = rows.select(f"`{id_col}`", F.array_sort(F.concat(*spans)).alias("spans"))
+    return _without_overlaps(rows).select(f"`{id_col}`", "spans")
 
 
 def _joined(spans: Column) -> Column:
