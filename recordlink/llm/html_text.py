@@ -5,7 +5,9 @@ comments and the like are cut off by element, role, class and id. Every remainin
 paragraph gives points for its length and its commas to its ancestors, less with each
 level; a container's points are discounted by the share of its text that lies in links.
 The best container, the article around it if there is one, and the siblings that look
-like text are kept; their blocks are joined in page order.
+like text are kept; their blocks are joined in page order. A form around prose is no form
+but the page, a name that may mean anything (``share``, ``header``) cuts off no prose, and
+lists of links stay inside an article.
 
 Each page is read by itself, so nothing is shuffled and no host can be hot. The tree is
 walked with loops, not recursion, so that deep nesting does no harm.
@@ -32,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # their content is not markup
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template textarea title head nav footer aside form button select "
+    "script style noscript template textarea title head nav footer aside button select "
     "option menu dialog iframe object embed svg canvas audio video fieldset label".split()
 )
 INLINE = frozenset(
@@ -68,6 +70,10 @@ JUNK_WORDS = frozenset(
     "copyright masthead sitehead header related recommended recommendations share sharing social "
     "tags taglist skip search searchbox feedback toc hidden complementary contentinfo search".split()
 )
+# of these the ones that name parts of an article as well
+WEAK_WORDS = frozenset("header share sharing social tags skip search toc feedback notice related".split())
+# so many characters directly in a block are prose
+PROSE_CHARS = 80
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar alert alertdialog dialog form".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text blog".split())
 BONUS = {"article": 25, "main": 15, "section": 3, "div": 5, "blockquote": 3, "pre": 3, "td": 3}
@@ -88,13 +94,13 @@ _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORE
 class Node:
     """An element; ``parts`` are its texts (str) and elements in page order."""
 
-    __slots__ = ("tag", "attrs", "parent", "parts", "score", "chars", "linked", "own", "cut")
+    __slots__ = ("tag", "attrs", "parent", "parts", "score", "chars", "linked", "own", "prose", "cut")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.parts: list[str | Node] = []
         self.score = 0.0
-        self.chars = self.linked = self.own = 0
+        self.chars = self.linked = self.own = self.prose = 0
         self.cut = False
 
     def names(self) -> tuple[set[str], dict[str, str]]:
@@ -207,6 +213,8 @@ def _is_junk(node: Node) -> bool:
     tag = node.tag
     if tag in DROPPED:
         return True
+    if tag == "form":
+        return node.prose < 2
     if tag in ("article", "main", "html"):
         words, found = node.names()
         return bool(words & {"comment", "comments", "ad", "ads", "related", "teaser", "promo"})
@@ -221,7 +229,8 @@ def _is_junk(node: Node) -> bool:
         return True
     if found.get("role", "").lower() in JUNK_ROLES:
         return True
-    if words & JUNK_WORDS:
+    junk = words & JUNK_WORDS
+    if junk and not (node.prose and junk <= WEAK_WORDS):
         if words & {"header", "title", "head"} and not words & (JUNK_WORDS - {"header"}):
             return not any(isinstance(p, Node) and p.tag in HEADINGS for p in node.parts)
         # a page-wide wrapper named like "with-sidebar" is not the sidebar
@@ -229,8 +238,25 @@ def _is_junk(node: Node) -> bool:
     return False
 
 
+def _count_prose(root: Node) -> None:
+    """How many blocks of prose each element holds; an article or its title counts for two."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(p for p in node.parts if isinstance(p, Node) and p.tag not in DROPPED)
+    for node in reversed(order):
+        if node.tag in ("article", "main", "h1"):
+            node.prose += 2
+        elif sum(len(p.strip()) for p in node.parts if isinstance(p, str)) >= PROSE_CHARS:
+            node.prose += 1
+        if node.parent is not None:
+            node.parent.prose += node.prose
+
+
 def _measure(root: Node) -> list[Node]:
     """Cut off what is not the article; text and link lengths of all that is left."""
+    _count_prose(root)
     order = []
     todo = [root]
     while todo:
@@ -305,17 +331,18 @@ def _kept(best: Node) -> list[Node]:
     if best.parent is None:
         return [best]
     least = max(10.0, best.score * 0.2)
+    in_main = _inside(best.parent, ("main",)) is not None
     kept = []
     for p in best.parent.parts:
         if p is best:
             kept.append(best)
-        elif isinstance(p, Node) and not p.cut and article is None:
+        elif isinstance(p, Node) and not p.cut:
+            share = _link_share(p)
             heading = p.tag in ("h1", "h2") and not kept
-            prose = p.tag == "p" and p.chars > 80 and _link_share(p) < 0.25
-            if heading or prose or (p.score >= least and _link_share(p) < 0.5):
+            prose = p.tag == "p" and p.chars > PROSE_CHARS and share < 0.25
+            part = in_main and p.tag in ("section", "div") and p.prose and share < 0.25
+            if heading or prose or part or (p.score >= least and share < 0.5):
                 kept.append(p)
-        elif isinstance(p, Node) and not p.cut and p.tag == "article" and p.score >= least:
-            kept.append(p)
     return kept
 
 
@@ -337,6 +364,7 @@ def _blocks(node: Node) -> list[str]:
         if text:
             blocks.append(text)
 
+    in_article = _inside(node, ("article",)) is not None
     todo: list[Node | str | None] = [node]
     while todo:
         p = todo.pop()
@@ -344,7 +372,7 @@ def _blocks(node: Node) -> list[str]:
             end_block()
         elif isinstance(p, str):
             current.append(p)
-        elif p.cut or (p is not node and _is_link_list(p)):
+        elif p.cut or (p is not node and not in_article and _is_link_list(p)):
             continue
         elif p.tag in INLINE:
             todo.extend(reversed(p.parts))
