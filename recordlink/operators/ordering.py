@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlink.session import checkpoint
+from recordlink.session import BROADCAST_ROWS, checkpoint, is_small
 
 # Up to this many rows Spark's own top-n is used: each task sends so many to one task.
 SMALL_LIMIT = 100
@@ -76,6 +76,22 @@ def join_group_facts(
     return in_hot.unionByName(in_cold)
 
 
+def join_value_facts(
+    rows: DataFrame, facts: DataFrame, keys: Sequence[str], size: str, width: int = 1
+) -> DataFrame:
+    """``join_group_facts`` for facts found among ``rows``; few facts are broadcast whole.
+
+    ``facts`` are checkpointed, one row per key with ``width`` numbers or so; ``size`` is
+    dropped.
+    """
+    if not is_small(facts, BROADCAST_ROWS // width):
+        return join_group_facts(rows, facts, keys, size).drop(size)
+    added = [c for c in facts.columns if c not in keys and c != size]
+    same = _same("rows", "facts", keys)
+    pick = ["rows.*", *[F.col(f"facts.{c}") for c in added]]
+    return rows.alias("rows").join(F.broadcast(facts.alias("facts")), same, "left").select(*pick)
+
+
 # Hot facts are broadcast up to so many bytes, beyond that they are salted.
 BROADCAST_BYTES = 64 << 20
 SALTS = 64

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from recordlink.config import RecordSpec
 from recordlink.functions.distances import distance, fold_nan, number_text
+from recordlink.operators.ordering import join_value_facts
 from recordlink.operators.pairs import pair_values
+from recordlink.session import checkpoint
 
 
 def named(column: str) -> str:
@@ -44,10 +46,37 @@ def distance_columns(
     }
 
 
+def measured_once(values: DataFrame, distances: Mapping[str, str]) -> DataFrame:
+    """Add ``d_<column>`` for distances that run in Python: once per pair of different values.
+
+    ``values`` has the structs ``l`` and ``r``, ``distances`` a name per column. Equal pairs of
+    values are summed up to one before they are measured, and the result is joined back by
+    value; pairs of values that many rows have are spread (``join_facts``).
+    """
+    sides = {
+        f"_{side}_{i}": distance(name).prepare(F.col(side)[c])
+        for side in "lr"
+        for i, (c, name) in enumerate(distances.items())
+    }
+    values = checkpoint(values.withColumns(sides))
+    for i, (c, name) in enumerate(distances.items()):
+        pair = [f"_l_{i}", f"_r_{i}"]
+        measure = distance(name).measure(*map(F.col, pair)).cast("double")
+        counted = values.groupBy(*pair).agg(F.count(F.lit(1)).alias("_n"))
+        measured = checkpoint(counted.withColumn(named(c), measure))
+        values = join_value_facts(values, measured, pair, "_n")
+    return values.drop(*sides)
+
+
 def value_distances(values: DataFrame, spec: RecordSpec) -> DataFrame:
     """Add ``d_<column>`` for the structs ``l`` and ``r`` of ``pair_values``; drop both."""
     columns = distance_columns(spec, lambda c: F.col("l")[c], lambda c: F.col("r")[c])
-    return values.withColumns(columns).drop("l", "r")
+    python = {c: d for c, d in spec.distances.items() if distance(d).python}
+    if not python:
+        return values.withColumns(columns).drop("l", "r")
+    given = [F.col(f"`{c}`") for c in values.columns if c not in ("l", "r")]
+    found = {named(c): F.col(f"`{named(c)}`") for c in python}
+    return measured_once(values, python).select(*given, *[found.get(n, d).alias(n) for n, d in columns.items()])
 
 
 def pair_distances(pairs: DataFrame, df: DataFrame, spec: RecordSpec) -> DataFrame:

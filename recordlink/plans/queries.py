@@ -535,7 +535,11 @@ def _part_pairs(spark, sf, column: str, name: str) -> DataFrame:
     round(1 - jaro_winkler_similarity(lower(ln), lower(rn)), 6) AS distance FROM met"""
 )
 def dist_jaro_winkler(spark, sf):
-    return _part_pairs(spark, sf, "p_name", "JARO_WINKLER")
+    part = table(spark, sf, "part")
+    met = pairs.neighbour_pairs(part, "p_partkey", partners=2)
+    values = pairs.pair_values(met, part, "p_partkey", ["p_name"])
+    found = similarity.measured_once(values, {"p_name": "JARO_WINKLER"})
+    return found.select("left_id", "right_id", F.round("d_p_name", 6).alias("distance"))
 
 
 @query(
