@@ -21,6 +21,7 @@ from recordlink.operators import (
     features,
     groups,
     matching,
+    minibatch,
     pairs,
     scoring,
     similarity,
@@ -758,6 +759,55 @@ def cluster_kmeans(spark, sf):
     return _cluster_check(model.assign(df, "cluster"), "vec_id", "cluster", 10)
 
 
+def _squares(df: DataFrame, label: str, features: str):
+    """Squared distances of all vectors to the mean of their cluster, summed up."""
+    found = df.select(label, F.posexplode(features).alias("pos", "v")).groupBy(label, "pos")
+    return found.agg((F.var_pop("v") * F.count("v")).alias("q")).agg(F.sum("q").alias("q")).first()["q"]
+
+
+def _clustering_checks(df: DataFrame, model: clustering.ClusterModel, bound: float) -> DataFrame:
+    """What a clustering has to be: every cluster used, nearly tight, own mean nearest."""
+    features = model.steps.features(F.col(model.embedding))
+    found = checkpoint(model.assign(df, "cluster").select("cluster", features.alias("f")))
+    means = found.select("cluster", F.posexplode("f").alias("pos", "v")).groupBy("cluster", "pos").agg(F.avg("v").alias("m"))
+    rows = means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "m")))["m"].alias("m")).orderBy("cluster").collect()
+    centres = [r["m"] for r in rows]
+    own = F.get(F.lit([[float(x) for x in c] for c in centres]), F.array_position(F.lit([r["cluster"] for r in rows]), F.col("cluster")).cast("int") - 1)
+    near = minibatch.squared_distance(F.col("f"), own) <= minibatch.nearest(F.col("f"), centres)["gap"] + 1e-9
+    within = _squares(found, "cluster", "f")
+    # a clustering need not have settled; nine of ten vectors have to lie nearest to their own mean
+    return found.agg(
+        F.count(F.lit(1)).alias("n_vectors"),
+        F.countDistinct("cluster").alias("n_clusters"),
+        flag(F.avg(near.cast("double")) >= 0.9).alias("nearest"),
+    ).withColumn("tight", flag(F.lit(within <= bound)))
+
+
+CLUSTERED = "SELECT count(*) AS n_vectors, 10::BIGINT AS n_clusters, 1 AS nearest, 1 AS tight FROM embeddings"
+
+
+@query(CLUSTERED)
+def cluster_kmeans_checked(spark, sf):
+    """K-means leaves less than nine tenths of the squares; one cluster for all leaves all."""
+    df = _vectors(spark, sf)
+    model = clustering.fit_clusters(df, "x", n_clusters=10, n_features=16, estimator=KMeans(seed=1, maxIter=20))
+    every = model.steps.apply(df, "x").select(F.lit(0).alias("one"), model.steps.features(F.col("x")).alias("f"))
+    return _clustering_checks(df, model, 0.9 * _squares(every, "one", "f"))
+
+
+@query(CLUSTERED)
+def cluster_minibatch(spark, sf):
+    """Mini-batches leave at most 1.1 times the squares that k-means over all rows leaves."""
+    df = checkpoint(_vectors(spark, sf))
+    full, small = (
+        clustering.fit_clusters(df, "x", n_clusters=10, n_features=16, estimator=estimator)
+        for estimator in (KMeans(seed=1, maxIter=20), minibatch.MiniBatchKMeans(seed=1))
+    )
+    features = full.steps.features(F.col("x"))
+    whole = _squares(full.assign(df, "cluster").select("cluster", features.alias("f")), "cluster", "f")
+    return _clustering_checks(df, small, 1.1 * whole)
+
+
 @query(
     """WITH long AS (
       SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos
