@@ -37,6 +37,8 @@ TOKENIZER = "word_bpe_49k.json"
 # Distinct words that a worker remembers; as many older ones are kept for a while.
 REMEMBERED = 500_000
 MARK = "\x01"
+# The tokenizer cuts off every digit, so between letters one needs no spaces, which cost time.
+DIGIT = "0"
 # Documents that are tokenized at the same time.
 TOGETHER = 50
 _PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids binary"
@@ -56,8 +58,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # a word of its own that is one token, and no part of a word without it
-        self.mark = int(self._encoded(MARK)[0])
+        # words of their own that are one token, and no part of a word without them
+        self.marks = {mark: int(self._encoded(mark)[0]) for mark in (f" {MARK} ", DIGIT)}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -70,12 +72,12 @@ class WordTokenizer:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.asarray(found[0].ids, dtype="<u4")
 
-    def _marked(self, words: list[str]) -> list[bytes]:
+    def _marked(self, words: list[str], mark: str = f" {MARK} ") -> list[bytes]:
         """The ids of words without the mark, encoded at once and cut at the marks."""
         if not words:
             return []
-        ids = self._encoded(f" {MARK} ".join(words))
-        ends = np.nonzero(ids == self.mark)[0].tolist()
+        ids = self._encoded(mark.join(words))
+        ends = np.nonzero(ids == self.marks[mark])[0].tolist()
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)])]
 
@@ -85,18 +87,18 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = []
-        for word in distinct:
-            if word not in known:
-                if word in older:
-                    known[word] = older[word]
-                else:
-                    new.append(word)
-        plain = [w for w in new if MARK not in w]
-        for word, ids in zip(plain, self._marked(plain)):
-            known[word] = ids
-        if len(plain) < len(new):
-            for word in new:
+        new = distinct.difference(known)
+        for word in new.intersection(older):
+            known[word] = older[word]
+        new.difference_update(older)
+        letters, others = [], []
+        for word in new:
+            (letters if word.isascii() and word.isalpha() else others).append(word)
+        known.update(zip(letters, self._marked(letters, DIGIT)))
+        plain = [w for w in others if MARK not in w]
+        known.update(zip(plain, self._marked(plain)))
+        if len(plain) < len(others):
+            for word in others:
                 if MARK in word:
                     known[word] = self._encoded(word).tobytes()
         return [b"".join(map(known.__getitem__, p)) for p in parts]

@@ -423,6 +423,18 @@ def test_tokens_by_word_are_those_of_the_text(text):
     assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
 
 
+def test_words_of_letters_are_cut_at_digits():
+    """Words of letters need no marks with spaces around, which cost time; the ids stay the same."""
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    marked = []
+    encode = words._encoded
+    words._encoded = lambda text: marked.append(text) or encode(text)
+    text = "Reoush the THE s t don't 0 00 a0b word, ein\u00fctz \u0130a \x01 a\x01b  x\ty\nz"
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
+    assert any("0" in t and t.replace("0", "").isalpha() for t in marked)
+
+
 # 7: top k
 
 
