@@ -87,13 +87,13 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = distinct.difference(known)
-        for word in new.intersection(older):
-            known[word] = older[word]
-        new.difference_update(older)
         letters, others = [], []
-        for word in new:
-            (letters if word.isascii() and word.isalpha() else others).append(word)
+        for word in distinct.difference(known):
+            # set operations with a dict would walk through all that is remembered
+            if word in older:
+                known[word] = older[word]
+            else:
+                (letters if word.isascii() and word.isalpha() else others).append(word)
         known.update(zip(letters, self._marked(letters, DIGIT)))
         plain = [w for w in others if MARK not in w]
         known.update(zip(plain, self._marked(plain)))

@@ -423,6 +423,21 @@ def test_tokens_by_word_are_those_of_the_text(text):
     assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
 
 
+def test_remembered_words_are_looked_up_and_not_walked_through():
+    """A worker remembers up to a million words, and looks some up for every few documents."""
+
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("walked through")
+
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    once = words.ids(["one two three"])
+    words.known, words.older = {}, Remembered(words.known)
+    assert words.ids(["one two three"]) == once
+    assert words.ids(["one four"]) == packing.WordTokenizer(packing.tokenizer_path()).ids(["one four"])
+    assert {"one", "two", "three", "four"} <= words.known.keys()
+
+
 def test_words_of_letters_are_cut_at_digits():
     """Words of letters need no marks with spaces around, which cost time; the ids stay the same."""
     words = packing.WordTokenizer(packing.tokenizer_path())
