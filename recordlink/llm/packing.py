@@ -20,6 +20,7 @@ empty table gives no rows; extra columns are left out.
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -39,6 +40,11 @@ REMEMBERED = 500_000
 MARK = "\x01"
 # The tokenizer cuts off every digit, so between letters one needs no spaces, which cost time.
 DIGIT = "0"
+# To the tokenizer signs at the end of a word of letters are a word of their own, and capitals
+# are small letters.
+ENDS = string.punctuation
+# Letters up to here are composed, and what normalizing makes of each is the same everywhere.
+LAST_LATIN = "\u024f"
 # Documents that are tokenized at the same time.
 TOGETHER = 50
 _PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids binary"
@@ -87,14 +93,25 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        letters, others = [], []
+        ended, others = [], []
+        cores: dict[str, bytes | None] = {}
         for word in distinct.difference(known):
             # set operations with a dict would walk through all that is remembered
             if word in older:
                 known[word] = older[word]
-            else:
-                (letters if word.isascii() and word.isalpha() else others).append(word)
-        known.update(zip(letters, self._marked(letters, DIGIT)))
+                continue
+            letters = word.rstrip(ENDS)
+            core, end = letters.lower(), word[len(letters) :]
+            if not core.isalpha() or not (core.isascii() or max(core) <= LAST_LATIN):
+                others.append(word)
+                continue
+            ended.append((word, core, end))
+            cores[core] = known.get(core) or older.get(core)
+            if end and end not in known:
+                known[end] = self._encoded(end).tobytes()
+        letters = [core for core, ids in cores.items() if ids is None]
+        cores.update(zip(letters, self._marked(letters, DIGIT)))
+        known.update((word, cores[core] + known[end] if end else cores[core]) for word, core, end in ended)
         plain = [w for w in others if MARK not in w]
         known.update(zip(plain, self._marked(plain)))
         if len(plain) < len(others):

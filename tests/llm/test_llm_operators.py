@@ -423,6 +423,17 @@ def test_tokens_by_word_are_those_of_the_text(text):
     assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
 
 
+def test_words_are_encoded_without_their_ends_and_capitals():
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    encoded = []
+    encode = words._encoded
+    words._encoded = lambda text: encoded.append(text) or encode(text)
+    text = "Word word word, WORD... word's it's' *** x<|endoftext|>! \u00c9t\u00e9? \u01c4a. \u0130a, \u03a3\u03c3. \u0149a; a\u0301b, \u1e9ba. it'S Abc' abc'"
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
+    assert sum(t.lower().split("0").count("word") for t in encoded) == 1
+
+
 def test_remembered_words_are_looked_up_and_not_walked_through():
     """A worker remembers up to a million words, and looks some up for every few documents."""
 
