@@ -38,11 +38,13 @@ TOKENIZER = "word_bpe_49k.json"
 # Distinct words that a worker remembers; as many older ones are kept for a while.
 REMEMBERED = 500_000
 MARK = "\x01"
-# The tokenizer cuts off every digit, so between letters one needs no spaces, which cost time.
+# Cuts words of letters apart, without the marks and spaces around them, which cost time.
 DIGIT = "0"
 # To the tokenizer signs at the end of a word of letters are a word of their own, and capitals
 # are small letters.
 ENDS = string.punctuation
+# How tokens end that are the last of a word.
+WORD_END = "</w>"
 # Letters up to here are composed, and what normalizing makes of each is the same everywhere.
 LAST_LATIN = "\u024f"
 # Documents that are tokenized at the same time.
@@ -56,16 +58,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def is_small_latin(text: str) -> bool:
+    """Letters alone, in small ones, of which normalizing makes the same."""
+    return text.isalpha() and (text.isascii() or max(text) <= LAST_LATIN) and text == text.lower()
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit integers, word by word."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # words of their own that are one token, and no part of a word without them
-        self.marks = {mark: int(self._encoded(mark)[0]) for mark in (f" {MARK} ", DIGIT)}
+        # the same model for words of small letters, which need no normalizing and no pattern
+        self.letters = Tokenizer(self.tokenizer.model)
+        by_digit = pre_tokenizers.CharDelimiterSplit(DIGIT)
+        in_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([by_digit, in_bytes])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        # a word of its own that is one token, and no part of a word without it
+        self.mark = int(self._encoded(MARK)[0])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -75,17 +90,30 @@ class WordTokenizer:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _encoded(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        """The ids of a text; of small letters with digits between, those of the letters alone."""
+        tokenizer = self.letters if is_small_latin(text.replace(DIGIT, "")) else self.tokenizer
+        found = tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.asarray(found[0].ids, dtype="<u4")
 
-    def _marked(self, words: list[str], mark: str = f" {MARK} ") -> list[bytes]:
-        """The ids of words without the mark, encoded at once and cut at the marks."""
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """The ids of words without the mark, encoded at once and cut at the marks behind them."""
+        if not words:
+            return []
+        ids = self._encoded(f" {MARK} ".join([*words, ""]))
+        ends = np.nonzero(ids == self.mark)[0].tolist()
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], ends)]
+
+    def _lettered(self, words: list[str]) -> list[bytes]:
+        """The ids of words of small letters, encoded at once and cut behind each last token."""
         if not words:
             return []
-        ids = self._encoded(mark.join(words))
-        ends = np.nonzero(ids == self.marks[mark])[0].tolist()
+        ids = self._encoded(DIGIT.join(words))
+        ends = (np.nonzero(self.last[ids])[0] + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):  # the vocabulary does not tell
+            return self._marked(words)
         data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)])]
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         parts = [self.words(t) for t in texts]
@@ -93,32 +121,39 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
+        # of these words only, which is quicker to look them up in than all that is remembered
+        here = dict(zip(distinct, map(known.get, distinct)))
         ended, others = [], []
-        cores: dict[str, bytes | None] = {}
-        for word in distinct.difference(known):
+        missing: dict[str, None] = {}
+        for word in [word for word, ids in here.items() if ids is None]:
             # set operations with a dict would walk through all that is remembered
             if word in older:
-                known[word] = older[word]
+                here[word] = known[word] = older[word]
                 continue
             letters = word.rstrip(ENDS)
             core, end = letters.lower(), word[len(letters) :]
-            if not core.isalpha() or not (core.isascii() or max(core) <= LAST_LATIN):
+            if not is_small_latin(core):
                 others.append(word)
                 continue
-            ended.append((word, core, end))
-            cores[core] = known.get(core) or older.get(core)
-            if end and end not in known:
+            if end not in known:
                 known[end] = self._encoded(end).tobytes()
-        letters = [core for core, ids in cores.items() if ids is None]
-        cores.update(zip(letters, self._marked(letters, DIGIT)))
-        known.update((word, cores[core] + known[end] if end else cores[core]) for word, core, end in ended)
+            ids = known.get(core) or older.get(core)
+            if ids is None:
+                missing[core] = None
+                ended.append((word, core, end))
+            else:
+                known[core] = ids
+                here[word] = known[word] = ids + known[end]
+        known.update(zip(missing, self._lettered(list(missing))))
+        # remembered by its core alone until it is met again, for most are rare
+        here.update((word, known[core] + known[end]) for word, core, end in ended)
         plain = [w for w in others if MARK not in w]
-        known.update(zip(plain, self._marked(plain)))
+        found = dict(zip(plain, self._marked(plain)))
         if len(plain) < len(others):
-            for word in others:
-                if MARK in word:
-                    known[word] = self._encoded(word).tobytes()
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+            found.update((word, self._encoded(word).tobytes()) for word in others if MARK in word)
+        known.update(found)
+        here.update(found)
+        return [b"".join(map(here.__getitem__, p)) for p in parts]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -449,6 +449,20 @@ def test_remembered_words_are_looked_up_and_not_walked_through():
     assert {"one", "two", "three", "four"} <= words.known.keys()
 
 
+def test_words_of_letters_are_remembered_by_their_cores():
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    texts = ["Zuverge, zuverge. ZUVERGE!? Été été; don't zuvergé 7zu zu7 ", "zuverge Zuverge, ÉTÉ"]
+    for text in [texts[0], *texts]:
+        want = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.ids([text])[0], dtype="<u4").tolist() == want
+    fresh = packing.WordTokenizer(packing.tokenizer_path())
+    fresh.ids(texts[:1])
+    assert "zuverge" in fresh.known and "Zuverge," not in fresh.known and "ZUVERGE!?" not in fresh.known
+    assert fresh.ids(["a0b"]) == words.ids([" a0b "]) == [np.asarray(fresh.tokenizer.encode("a0b").ids, dtype="<u4").tobytes()]
+    fresh.last[:] = False  # a vocabulary that does not tell where words end
+    assert fresh.ids(["blentat rehaatnd"]) == words.ids(["blentat rehaatnd"])
+
+
 def test_words_of_letters_are_cut_at_digits():
     """Words of letters need no marks with spaces around, which cost time; the ids stay the same."""
     words = packing.WordTokenizer(packing.tokenizer_path())
