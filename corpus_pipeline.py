@@ -13,10 +13,16 @@ The first four return the columns of ``documents``. Rows that repeat id and text
 document to stages 2 and 3. Nulls, empty and very long texts, ties and empty tables have
 the results that the operators define; columns beyond those of ``documents`` pass through
 the first four stages.
+
+The stages work on batches of texts that are small enough for the workers of all cores to
+fit beside each other: they set ``BATCH_CONF`` for the session unless it is set.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from recordlink.llm.common import table, written
@@ -25,13 +31,26 @@ from recordlink.llm.language import keep_identified
 from recordlink.llm.line_dedup import drop_repeated_lines
 from recordlink.llm.minhash import drop_near_duplicates
 from recordlink.llm.packing import pack_documents
+from recordlink.session import small_batches
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 STAGES = [
-    ("language_id", keep_identified),
-    ("line_dedup", drop_repeated_lines),
-    ("minhash_near_dedup", drop_near_duplicates),
-    ("benchmark_decontamination", drop_contaminated),
-    ("best_fit_packing", pack_documents),
+    ("language_id", in_small_batches(keep_identified)),
+    ("line_dedup", in_small_batches(drop_repeated_lines)),
+    ("minhash_near_dedup", in_small_batches(drop_near_duplicates)),
+    ("benchmark_decontamination", in_small_batches(drop_contaminated)),
+    ("best_fit_packing", in_small_batches(pack_documents)),
 ]
 
 # the learned model, the signatures and the packing are beyond SQL; tests/llm holds each

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,23 @@ _WORD_BYTES = bytes(
 )
 
 
+# what a worker process keeps from task to task
+_KEPT: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], object]) -> object:
+    """What a step remembers in a worker process; what another step remembered goes."""
+    if key not in _KEPT:
+        release_worker()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release_worker() -> None:
+    """Called by steps that remember nothing, for Spark reuses workers from step to step."""
+    _KEPT.clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Maximal runs of ASCII letters (lower-cased), digits and characters beyond ASCII."""
     return text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlink.llm.common import only, table, written
+from recordlink.llm.common import only, release_worker, table, written
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -73,6 +73,7 @@ def _flushed(counts: dict, last: bool = False) -> Iterator[pd.DataFrame]:
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    release_worker()
     counts: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release_worker()
         for batch in texts:
             yield pd.DataFrame([shared.value.predict(t) for t in batch], columns=["lang", "score"])
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlink.llm.common import only, table, written
+from recordlink.llm.common import only, release_worker, table, written
 from recordlink.llm.components import components
 from recordlink.llm.shingles import shingles_of_texts
 from recordlink.operators.ordering import join_group_facts
@@ -76,6 +76,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_shingles``, ``set_key`` (hash of the set), bands, signature."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_worker()
         for batch in batches:
             rows = []
             found = shingles_of_texts(batch["text"], words)

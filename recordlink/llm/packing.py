@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlink.llm.common import only, table, written
+from recordlink.llm.common import kept_in_worker, only, table, written
 from recordlink.operators.ordering import number_rows
 
 SEQUENCE_TOKENS = 4096
@@ -156,14 +156,9 @@ class WordTokenizer:
         return [b"".join(map(here.__getitem__, p)) for p in parts]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    """One per worker process, kept from task to task."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+    """One per worker process, kept from task to task until another step runs there."""
+    return kept_in_worker(path, lambda: WordTokenizer(path))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = SEQUENCE_TOKENS) -> DataFrame:

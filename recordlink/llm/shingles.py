@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 # Bytes of text that are hashed at a time; a longer text is hashed by itself.
-TOGETHER = 2_000_000
+TOGETHER = 250_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B1], dtype=np.uint64)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)

@@ -136,3 +136,37 @@ def test_language_stage_leaves_columns_alone(spark):
     assert len(kept) == 8 and [kept[0][c] for c in names] == [f"own {c}" for c in names]
     near = minhash.drop_near_duplicates(spark, docs, "").collect()
     assert len(near) == 1 and [near[0][c] for c in names] == [f"own {c}" for c in names]
+
+
+def test_stages_get_small_batches_and_leave_no_words_in_workers(spark):
+    """Whole batches of 10,000 texts and the words of an earlier packing took an executor's memory."""
+    import pandas as pd
+
+    from recordlink import session
+    from recordlink.llm import common, minhash, packing
+
+    # the words that packing remembered in a worker go when another step runs there
+    docs = spark.createDataFrame([(i, f"seldom{chr(97 + i)} words here") for i in range(8)], "doc_id long, text string")
+
+    def after_packing(batches):
+        for batch in batches:
+            words = packing._tokenizer(packing.tokenizer_path())
+            words.ids(batch["text"].tolist())
+            yield pd.DataFrame({"n": [len(common._KEPT)]})
+
+    def kept(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(common._KEPT)]})
+
+    one = docs.coalesce(1)
+    assert one.mapInPandas(after_packing, "n long").first()["n"] == 1
+    assert minhash.sketched(one.coalesce(1), 5).count() == 8
+    assert one.mapInPandas(kept, "n long").first()["n"] == 0
+
+    own = spark.newSession()
+    assert own.conf.get(session.BATCH_CONF, None) is None
+    corpus_pipeline.STAGES[2][1](own, own.createDataFrame(docs.collect(), docs.schema), None)
+    assert int(own.conf.get(session.BATCH_CONF)) == session.BATCH_ROWS
+    own.conf.set(session.BATCH_CONF, 77)
+    session.small_batches(own)
+    assert own.conf.get(session.BATCH_CONF) == "77"
